@@ -91,3 +91,36 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             out = mix64(out * np.uint64(0x9FB21C651E98DF25) + h[i : len(h) - k + 1 + i])
         return out
+
+
+def binaries(column) -> list:
+    """The UTF-8 bytes (or None) of each value of an Arrow string column."""
+    import pyarrow as pa
+
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return column.cast(kind).to_pylist()
+
+
+def chunks(parts: list, limit: int = 1 << 18):
+    """Slices of about ``limit`` bytes (one whole text at least), so that work arrays stay in the CPU's cache."""
+    lo = size = 0
+    for i, p in enumerate(parts):
+        size += 1 + (len(p) if p else 0)
+        if size >= limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(parts):
+        yield lo, len(parts)
+
+
+def joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode``, of bytes."""
+    parts = [p or b"" for p in parts]
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts)))
+    data = np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)
+    return data, np.concatenate([np.zeros(1, dtype=np.int64), ends])
+
+
+def code_points_before(data: np.ndarray) -> np.ndarray:
+    """For each byte offset, the number of code points that start before it."""
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum((data & 0xC0) != 0x80)])

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality
+from ._sample import remainder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    held = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return quality.score(docs, model, threshold=0.3).select("doc_id", held, "score", "predicted")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mixing.mix(docs, F.array("source")).select(
@@ -19,5 +27,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op10_source_mixing,)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op10_source_mixing)}
 SQL: dict[str, str] = {}
