@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, toxicity
 from ._sample import remainder
 
 
@@ -20,6 +20,14 @@ def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", held, "score", "predicted")
 
 
+def op2_toxicity_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    held = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    spans = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("offending")
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", held, "score", "predicted", "n_sentences", spans)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mixing.mix(docs, F.array("source")).select(
@@ -27,5 +35,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op10_source_mixing)}
 SQL: dict[str, str] = {}
