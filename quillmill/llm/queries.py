@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, toxicity
+from . import fingerprint, language, mixing, quality, toxicity
 from ._sample import remainder
 
 
@@ -28,6 +28,16 @@ def op2_toxicity_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.7).select("doc_id", held, "score", "predicted", "n_sentences", spans)
 
 
+def op3_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(_read(spark, sf_dir, "documents"))
+
+
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return language.predict(docs, language.learn(docs)).select("doc_id", held, "lang_pred", "score")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mixing.mix(docs, F.array("source")).select(
@@ -35,5 +45,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op9_rank_order_language, op10_source_mixing)}
 SQL: dict[str, str] = {}
