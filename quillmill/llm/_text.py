@@ -124,3 +124,12 @@ def joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def code_points_before(data: np.ndarray) -> np.ndarray:
     """For each byte offset, the number of code points that start before it."""
     return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum((data & 0xC0) != 0x80)])
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """One hash of each row of uint64 values."""
+    out = np.zeros(len(rows), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(rows.shape[1]):
+            out = mix64(out * np.uint64(0x9FB21C651E98DF25) + rows[:, i])
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, quality, toxicity
+from . import fingerprint, language, licenses, mixing, neardup, quality, toxicity
 from ._sample import remainder
 
 
@@ -32,6 +32,21 @@ def op3_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(_read(spark, sf_dir, "documents"))
 
 
+def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    families = F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["family"])))
+    spans = F.concat_ws(",", F.transform("findings", lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_findings"), F.concat_ws(",", families).alias("families"), spans.alias("spans")
+    )
+
+
+def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.group(_read(spark, sf_dir, "documents"), words=3, percent=85)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
@@ -45,5 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op9_rank_order_language, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
 SQL: dict[str, str] = {}
