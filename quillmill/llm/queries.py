@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, licenses, mixing, neardup, quality, toxicity
+from . import decontam, fingerprint, language, licenses, mixing, neardup, quality, secrets, toxicity
 from ._sample import remainder
+from ._store import work_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,21 @@ def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return marks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, rows = secrets.scan(_read(spark, sf_dir, "documents"), work_path(spark, "secrets-ledger"))
+    found = secrets.join_paths(paths, rows)
+    listed = lambda of: F.concat_ws(",", F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.group(_read(spark, sf_dir, "documents"), words=3, percent=85)
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -60,5 +76,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op5_positional_index, op6_blob_ledger, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
 SQL: dict[str, str] = {}
