@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, language, licenses, mixing, neardup, quality, secrets, toxicity
+from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secrets, toxicity
 from ._sample import remainder
 from ._store import work_path
 
@@ -58,6 +58,15 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return lines.dedup(docs.select("doc_id", "text", n_lines.alias("n_lines"))).select(
+        "doc_id", "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("_removed").cast("array<string>")).alias("removed"),
+        F.sha2("text", 256).alias("kept_sha256"), F.col("_emptied").alias("emptied"),
+    )
+
+
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.group(_read(spark, sf_dir, "documents"), words=3, percent=85)
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -76,5 +85,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op5_positional_index, op6_blob_ledger, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op5_positional_index, op6_blob_ledger, op7_fuzzy_lines, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
 SQL: dict[str, str] = {}
