@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._rows import without
 from ._store import save
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,3 +144,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, rarest: i
     return every.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").select(
         "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """docs without the documents that hold a window of any item; all columns stay."""
+    marks = contamination(docs, items, window)
+    return without(docs, save(marks.where("n_hit > 0").select("doc_id", "key"), "decontam-gone"))

@@ -125,31 +125,53 @@ def _has_letter(part: bytes | None) -> bool:
     return bool(part) and (any(65 <= b <= 90 or 97 <= b <= 122 for b in part[:256]) or any(c.isalpha() for c in part.decode("utf-8", "replace")))
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, lang_pred and score (1 less the mean distance) for every row and its whole text.
+def _answers(profiles: Profiles, parts: list) -> tuple[list[str], list[float]]:
+    best, score = [], []
+    for a, z in T.chunks(parts):
+        for p, row in zip(parts[a:z], profiles.distances(parts[a:z]), strict=True):
+            if len(row) and _has_letter(p):
+                j = int(np.argmin(row))
+                best.append(profiles.languages[j])
+                score.append(1 - float(row[j]))
+            else:
+                best.append(UNKNOWN)
+                score.append(0.0)
+    return best, score
+
+
+def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """doc_id, lang_pred and score (1 less the mean distance) for every row and its whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned.
     Languages at equal distance: the first by name. Repeated rows each get the same answer; an empty table
-    gives no rows. A column of ``keep`` may have any name but lang_pred and score.
+    gives no rows; columns other than doc_id and text are ignored.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            parts, best, score = T.binaries(batch.column(batch.num_columns - 1)), [], []
-            for a, z in T.chunks(parts):
-                d = profiles.distances(parts[a:z])
-                for p, row in zip(parts[a:z], d, strict=True):
-                    if len(row) and _has_letter(p):
-                        j = int(np.argmin(row))
-                        best.append(profiles.languages[j])
-                        score.append(1 - float(row[j]))
-                    else:
-                        best.append(UNKNOWN)
-                        score.append(0.0)
-            kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text_in")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+            best, score = _answers(profiles, T.binaries(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def known(docs: DataFrame, profiles: Profiles, least: float = 0.15) -> DataFrame:
+    """docs, all columns, without the rows whose text is ``und`` or scores under ``least``.
+
+    If nothing could be learned, nothing is rejected: every row stays.
+    """
+    if not profiles.languages:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            best, score = _answers(profiles, T.binaries(batch.column(at)))
+            yield batch.filter(pa.array([b != UNKNOWN and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._rows import key, once
 from ._store import save
 
 #: Sources and patterns are nodes of a network on the driver; more than this is an error, not a truncation.
@@ -106,7 +107,7 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int) -> d
 
 
 def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc_id", weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix-1") -> DataFrame:
-    """One row per input row: doc_id, size, sources, source_sizes, source_targets, copies, taken.
+    """One row per input row: doc_id, key (a hash of the text), size, sources, source_sizes, source_targets, copies, taken.
 
     ``sources`` is an array of the sources that hold the document (one or more; null is a source). A source's
     size is the sum of its documents' sizes. Null texts have size 0 and are never taken; repeated rows are
@@ -119,6 +120,7 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
             F.col(doc_id).alias("doc_id"),
             F.array_sort(F.array_distinct(sources)).alias("sources"),
             word_count(F.col(text)).alias("size"),
+            F.xxhash64(F.col(text)).alias("key"),
             F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_h"),
         ),
         "mix-sizes",
@@ -126,8 +128,7 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
     patterns = sized.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
     if len(patterns) > MAX_NODES:
         raise ValueError(f"more than {MAX_NODES} membership patterns")
-    key = lambda p: tuple((s is None, s or "") for s in p)
-    patterns = sorted(((tuple(r.sources), r.size) for r in patterns), key=lambda x: key(x[0]))
+    patterns = sorted(((tuple(r.sources), r.size) for r in patterns), key=lambda x: tuple((s is None, s or "") for s in x[0]))
     sizes: dict = defaultdict(int)
     for p, n in patterns:
         for s in p:
@@ -166,4 +167,17 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
     filler = fits.groupBy("pattern").agg(F.max_by(F.struct("_h", "doc_id", "_last"), F.struct("size", "_h", "doc_id", "_last")).alias("_fill"))
     out = rows.join(F.broadcast(filler), "pattern", "left")
     copies = F.col("_passes") + F.col("_in").cast("long") + F.coalesce((F.struct("_h", "doc_id", "_last").eqNullSafe(F.col("_fill")) & ~F.col("_in")).cast("long"), F.lit(0))
-    return out.select("doc_id", "size", "sources", "source_sizes", "source_targets", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "key", "size", "sources", "source_sizes", "source_targets", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, sources: Column, **options) -> DataFrame:
+    """The documents that the mix takes: all columns of docs, then mix_size, mix_copies and mix_taken.
+
+    Rows that repeat an id and text share their copies out among as many rows.
+    """
+    mixed = save(mix(docs, sources, **options).select("doc_id", "key", "size", "copies", "taken"), "mix-taken")
+    repeated = save(mixed.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
+    shares = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"))
+    shares = shares.agg(F.collect_list(F.struct(F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))).alias("_mix"))
+    rows = once(docs, repeated).join(shares, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (key() == F.col("_mix_key")))
+    return rows.select(*docs.columns, F.explode("_mix").alias("_mix")).select(*docs.columns, "_mix.*")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
+from ._rows import key, once, without
 from ._store import save
 
 #: Coordinates of a sketch; bands of ROWS coordinates. At a Jaccard index of 0.85 a link is missed with
@@ -73,7 +74,7 @@ def _sketched(words: int):
         import pyarrow as pa
 
         for batch in batches:
-            parts, size, node, bands = T.binaries(batch.column(1)), [], [], []
+            parts, size, node, bands = T.binaries(batch.column(2)), [], [], []
             for a, z in T.chunks(parts):
                 sets = shingle_sets(parts[a:z], words)
                 of = np.repeat(np.arange(z - a), [len(s) for s in sets])
@@ -84,7 +85,7 @@ def _sketched(words: int):
                 size += [len(s) for s in sets]
                 node += [_node(s) for s in sets]
                 bands += [sk[i, :BANDS].view(np.int64) if len(s) else None for i, s in enumerate(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "node", "bands"])
 
     return run
 
@@ -151,7 +152,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text).
+    """doc_id, key (a hash of the text), n_shingles and component_id for every row of docs (doc_id, text).
 
     Texts whose sets of ``words``-word shingles (ASCII lower case, split at ASCII white space) have a Jaccard
     index of at least ``percent`` / 100 are linked; component_id is the least doc_id that links lead to. With
@@ -161,7 +162,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    sketched = save(docs.mapInArrow(_sketched(words), f"doc_id {kind}, n_shingles long, node binary, bands array<long>"), "neardup-sketches")
+    keyed = docs.select("doc_id", key().alias("key"), "text")
+    sketched = save(keyed.mapInArrow(_sketched(words), f"doc_id {kind}, key long, n_shingles long, node binary, bands array<long>"), "neardup-sketches")
     # One row for each distinct set: its least id stands for all its copies.
     least = sketched.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = save(least, "neardup-nodes")
@@ -211,4 +213,15 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.join(ids, "comp").select("node", "component_id")
     alone = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sketched.drop("bands").join(alone, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sketched.drop("bands").join(alone, "node", "left").select("doc_id", "key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, that of least doc_id; all columns stay, and texts without words.
+
+    Of rows that repeat an id and text one stays.
+    """
+    groups = save(group(docs, words, percent), "neardup-groups")
+    repeated = save(groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-repeated")
+    gone = save(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key"), "neardup-gone")
+    return once(without(docs, gone), repeated)

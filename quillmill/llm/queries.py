@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secrets, toxicity
+from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secretscan, toxicity
 from ._sample import remainder
 from ._store import work_path
 
@@ -50,12 +50,12 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, rows = secrets.scan(_read(spark, sf_dir, "documents"), work_path(spark, "secrets-ledger"))
-    found = secrets.join_paths(paths, rows)
+    paths, rows = secretscan.scan(_read(spark, sf_dir, "documents"), work_path(spark, "secrets-ledger"))
+    found = secretscan.join_paths(paths, rows)
     listed = lambda of: F.concat_ws(",", F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
-    base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
+    base = F.filter("found", lambda x: x["kind"].isin(*secretscan.BASE))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in secretscan.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = neardup.group(_read(spark, sf_dir, "documents"), words=3, percent=85)
+    groups = neardup.group(_read(spark, sf_dir, "documents"), words=3, percent=85).drop("key")
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
