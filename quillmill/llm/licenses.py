@@ -122,10 +122,19 @@ class Model:
         z = np.stack([np.bincount(at, weights=self.weights[gram, c], minlength=n) for c in range(self.weights.shape[1])], axis=1) + self.weights[-1]
         return _softmax(z / self.temperature)
 
-    def confirmed(self, family: int, h: np.ndarray, share: float) -> bool:
-        """Whether a template of the family has that share of its 2-grams among the paragraph's words."""
-        own = np.unique(T.ngram_hashes(h, 2))
-        return any(f == family and np.isin(t, own, assume_unique=True).mean() >= share for f, t in self.templates)
+    def contained(self, h: np.ndarray) -> np.ndarray:
+        """For each family, of its template that is most like the paragraph (Dice index of 2-grams): likeness and contained share."""
+        own, out = np.unique(T.ngram_hashes(h, 2)), np.zeros((len(FAMILIES), 2))
+        for f, t in self.templates:
+            both = np.isin(t, own, assume_unique=True).sum()
+            out[f] = max(tuple(out[f]), (2 * both / (len(t) + len(own)), both / len(t)))
+        return out
+
+    def confirmed(self, p: np.ndarray, h: np.ndarray, share: float) -> int:
+        """The family most like the paragraph among those contained to ``share`` (of equals the likeliest); 0 without any."""
+        like, inside = self.contained(h).T
+        like = np.where(inside >= share, like, 0)
+        return int(np.argmax(np.where(like >= like.max() - 1e-9, p, -1))) if like.max() > 0 else 0
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -170,7 +179,7 @@ def fit(docs: DataFrame, sample: int = 1000, copies: int = 40, steps: int = 150,
                 cut, words = np.searchsorted(at, np.arange(len(doc) + 1)), np.searchsorted(of, np.arange(len(doc) + 1))
                 for i in range(len(doc)):
                     own = h[words[i] : words[i + 1]]
-                    if cut[i + 1] - cut[i] < 2 or not any(model.confirmed(f, own, 0.5) for f in range(1, len(FAMILIES))):
+                    if cut[i + 1] - cut[i] < 2 or model.contained(own)[:, 1].max() < 0.5:
                         rows.append(gram[cut[i] : cut[i + 1]].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["grams"])
 
@@ -205,8 +214,9 @@ def fit(docs: DataFrame, sample: int = 1000, copies: int = 40, steps: int = 150,
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0.6) -> DataFrame:
     """doc_id, n_paragraphs and findings (family, start, end, score) for every row and its whole text.
 
-    A finding is a paragraph whose likeliest family isn't unknown, has at least ``threshold`` probability and
-    is confirmed by a template. Offsets are code points, end exclusive. Null and empty texts have no paragraphs
+    A finding is a paragraph whose likeliest family isn't unknown and has at least ``threshold`` probability, if
+    a template has ``share`` of its 2-grams there. Its family is the one whose templates fit best (of equals the likeliest);
+    its score is one less the probability of unknown. Offsets are code points, end exclusive. Null and empty texts have no paragraphs
     and no findings; repeated rows each get the same; an empty table gives no rows; other columns are ignored.
     """
 
@@ -230,9 +240,10 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0
                     words = np.searchsorted(of, np.arange(len(doc) + 1))
                     for k in good:
                         i = some[k]
-                        if model.confirmed(int(best[k]), h[words[i] : words[i + 1]], share):
+                        family = model.confirmed(p[k], h[words[i] : words[i + 1]], share)
+                        if family:
                             base = before[off[doc[i]]]
-                            rows[doc[i]].append({"family": FAMILIES[best[k]], "start": int(before[start[i]] - base), "end": int(before[end[i]] - base), "score": float(p[k, best[k]])})
+                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[i]] - base), "score": float(1 - p[k, 0])})
                 found += rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(found, pa.list_(kind))], names=["doc_id", "n_paragraphs", "findings"])
 
