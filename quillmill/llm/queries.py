@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secretscan, toxicity
+from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secretscan, sql, toxicity
 from ._sample import remainder
 from ._store import work_path
 
@@ -86,4 +86,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_trees, op2_toxicity_bags, op3_scaled_sketches, op4_license_paragraphs, op5_positional_index, op6_blob_ledger, op7_fuzzy_lines, op8_minhash_groups, op9_rank_order_language, op10_source_mixing)}
-SQL: dict[str, str] = {}
+#: The others have no SQL: fitted models, sketches, SimHash and seeded selection. Tests compare them with brute force.
+SQL = {"op5_positional_index": sql.DECONTAMINATION, "op6_blob_ledger": sql.SECRETS, "op8_minhash_groups": sql.GROUPS}
