@@ -22,6 +22,8 @@ from ._store import save
 MAX_NODES = 100_000
 #: Seeded order is dealt over this many buckets for each pattern, so a hot source is never one task.
 BUCKETS = 4096
+#: Times that the gap which the seeded prefix leaves is filled with documents that fit.
+ROUNDS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -106,6 +108,19 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int) -> d
     return {k: arcs[i ^ 1][1] for k, i in route.items() if arcs[i ^ 1][1]}
 
 
+def _ordered(rows: DataFrame, doc_id: str) -> DataFrame:
+    """rows with _last: the running size to each row's end, in its pattern's seeded order (buckets ``_b``, then hash and id).
+
+    Buckets are summed first, so that no window holds more than one bucket, or one row for each bucket.
+    """
+    sums = rows.groupBy("pattern", "_b").agg(F.sum("size").alias("_n"))
+    before = Window.partitionBy("pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select("pattern", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("pattern", "_b").orderBy(F.when(F.col("_b") < 0, -F.col("size")), "_h", doc_id).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum("size").over(inside)).join(offset, ["pattern", "_b"])
+    return rows.withColumn("_last", F.col("_off") + F.col("_end")).drop("_off", "_end")
+
+
 def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc_id", weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix-1") -> DataFrame:
     """One row per input row: doc_id, key (a hash of the text), size, sources, source_sizes, source_targets, copies, taken.
 
@@ -145,28 +160,35 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
     )
     # The plan has MAX_NODES rows at most: a bounded broadcast.
     rows = sized.join(F.broadcast(plan), sized["sources"].eqNullSafe(plan["sources"])).drop(plan["sources"])
-    rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(BUCKETS)).cast("int"))
-    sums = rows.groupBy("pattern", "_b").agg(F.sum("size").alias("_n"))
-    # Ordered sums over at most BUCKETS rows of each pattern.
-    before = Window.partitionBy("pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select("pattern", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("pattern", "_b").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum("size").over(inside)).join(offset, ["pattern", "_b"])
-    # Full passes over the pool, then the seeded prefix that still fits whole.
-    rows = rows.withColumns(
-        {
-            "_passes": F.when(F.col("pool") > 0, F.expr("quota div pool")).otherwise(F.lit(0)),
-            "_rest": F.when(F.col("pool") > 0, F.col("quota") % F.col("pool")).otherwise(F.lit(0)),
-            "_last": F.col("_off") + F.col("_end"),
-        }
-    )
-    rows = save(rows.withColumn("_in", (F.col("_last") <= F.col("_rest")) & (F.col("size") > 0)).drop("_b", "_off", "_end"), "mix-order")
-    # The prefix leaves a gap smaller than one document: the largest remaining document that fits closes it.
-    gap = rows.groupBy("pattern").agg((F.max("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("_gap"))
-    fits = rows.join(F.broadcast(gap), "pattern").where(~F.col("_in") & (F.col("size") > 0) & (F.col("size") <= F.col("_gap")))
-    filler = fits.groupBy("pattern").agg(F.max_by(F.struct("_h", "doc_id", "_last"), F.struct("size", "_h", "doc_id", "_last")).alias("_fill"))
-    out = rows.join(F.broadcast(filler), "pattern", "left")
-    copies = F.col("_passes") + F.col("_in").cast("long") + F.coalesce((F.struct("_h", "doc_id", "_last").eqNullSafe(F.col("_fill")) & ~F.col("_in")).cast("long"), F.lit(0))
+    # Full passes over the pool, then the seeded prefix that still fits whole. Documents of over a fiftieth of what is
+    # left to take come first, the largest before all: where they matter, the others can still fill up (1000 at most
+    # of each pattern).
+    rows = rows.withColumns({"_passes": F.when(F.col("pool") > 0, F.expr("quota div pool")).otherwise(F.lit(0)), "_rest": F.when(F.col("pool") > 0, F.col("quota") % F.col("pool")).otherwise(F.lit(0))})
+    giant = (F.col("size") <= F.col("_rest")) & (F.col("size") * 50 > F.col("_rest")) & (F.col("_rest") * 20 > F.col("pool"))
+    rows = rows.withColumn("_b", F.when(giant, -1).otherwise(F.pmod(F.shiftrightunsigned("_h", 40), F.lit(BUCKETS)).cast("int")))
+    rows = _ordered(rows, "doc_id")
+    rows = rows.withColumn("_in", (F.col("_last") <= F.col("_rest")) & (F.col("size") > 0))
+    rows = save(rows.withColumn("_spot", F.struct("_h", "doc_id", "_last")).drop("_last"), "mix-order")
+    # That leaves a gap smaller than one document. Documents that fit in it make a new prefix, a few times over, and
+    # in the end the largest that fits is taken.
+    left = rows.groupBy("pattern").agg((F.max("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("_gap"))
+    left, picks = save(left, "mix-gaps"), None
+    spare = rows.where(~F.col("_in") & (F.col("size") > 0)).select("pattern", "_b", "_h", "doc_id", "size", "_spot")
+    for k in range(ROUNDS):
+        fits = spare.join(F.broadcast(left), "pattern").where(F.col("size") <= F.col("_gap"))  # a row for each pattern
+        if picks is not None:
+            fits = fits.join(picks.select("pattern", "_spot"), ["pattern", "_spot"], "left_anti")
+        if k < ROUNDS - 1:
+            more = _ordered(fits, "doc_id").where(F.col("_last") <= F.col("_gap")).select("pattern", "_spot", "size")
+        else:
+            more = fits.groupBy("pattern").agg(F.max(F.struct("size", "_spot")).alias("_b")).select("pattern", "_b._spot", "_b.size")
+        more = save(more, "mix-picks")
+        picks = more if picks is None else picks.unionByName(more)
+        filled = more.groupBy("pattern").agg(F.sum("size").alias("_n"))
+        left = save(left.join(filled, "pattern", "left").select("pattern", (F.col("_gap") - F.coalesce("_n", F.lit(0))).alias("_gap")), "mix-gaps")
+    picked = picks.select("pattern", "_spot", F.lit(1).cast("long").alias("_more"))
+    out = rows.join(picked, ["pattern", "_spot"], "left")
+    copies = F.col("_passes") + F.col("_in").cast("long") + F.when(F.col("_in"), 0).otherwise(F.coalesce("_more", F.lit(0)))
     return out.select("doc_id", "key", "size", "sources", "source_sizes", "source_targets", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
