@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import save
+from ._store import discard, save
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         # Now every edge leads from a to a smaller b: the small star of a joins its smaller neighbours and itself.
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("_m").alias("b")), F.struct("a", F.col("_m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = save(small, f"{name}-edges")
+        before, edges = edges, save(small, f"{name}-edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -28,7 +28,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quillmill_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that no later plan reads; tables that were derived from saved ones stay."""
+    for table in tables:
+        path = getattr(table, "_quillmill_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def conf_partitions(spark: SparkSession) -> int:
