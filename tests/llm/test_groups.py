@@ -165,6 +165,13 @@ def test_simhash_equals_brute_force(spark, documents):
         assert (r.sim & (1 << 64) - 1) == sum(b << j for j, b in enumerate(bits))
 
 
+def test_simhash_of_lines_in_parts(spark, documents, monkeypatch):
+    docs = documents.where("doc_id < 12").select("doc_id", "text")
+    first = sorted(map(tuple, lines._simhash(docs, 1).collect()))
+    monkeypatch.setattr(lines, "PART", 7)
+    assert sorted(map(tuple, lines._simhash(docs, 1).collect())) == first
+
+
 def test_targets_share_the_excess():
     got = mixing.targets({"a": 10, "b": 1000, None: 1000, "c": 1000})
     assert got["a"] == 20 and got[None] == 2000 and abs(sum(got.values()) - 1.5 * 3010) < 1e-6 and abs(got["b"] - (4515 - 2020) / 3) < 1e-6
