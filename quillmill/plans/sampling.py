@@ -44,14 +44,11 @@ def filter_fallthrough(spark, sf_dir):
 def policy_narrowing(spark, sf_dir):
     """Each step keeps the matching rows unless there are none: existence is one small aggregate, not a global window."""
     rows = T.bank(spark, sf_dir)
-    least = None
-    for name, value in (("alphabet", "Brand#2"), ("lang", "Brand#99"), ("script", None)):
-        if value is None:
-            least = rows.agg(F.min("script").alias("_v"))
-            rows = rows.crossJoin(F.broadcast(least)).where(F.col("script") == F.col("_v")).drop("_v")  # one row: the least always matches
-        else:
-            some = rows.agg(F.coalesce(F.bool_or(F.col(name) == value), F.lit(False)).alias("_some"))
-            rows = rows.crossJoin(F.broadcast(some)).where((F.col(name) == value) | ~F.col("_some")).drop("_some")
+    for name, value in (("alphabet", "Brand#2"), ("lang", "Brand#99")):
+        found = rows.agg(F.coalesce(F.bool_or(F.col(name) == value), F.lit(False)).alias("_found"))  # one row
+        rows = rows.crossJoin(F.broadcast(found)).where((F.col(name) == value) | ~F.col("_found")).drop("_found")
+    least = rows.agg(F.min("script").alias("_least"))  # one row; the least script always matches
+    rows = rows.crossJoin(F.broadcast(least)).where(F.col("script") == F.col("_least"))
     return rows.select("item", "lang", "script")
 
 
