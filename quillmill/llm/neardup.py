@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._graph import components
 from ._rows import key, once, without
-from ._store import save
+from ._store import discard, save
 
 #: Coordinates of a sketch; bands of ROWS coordinates. At a Jaccard index of 0.85 a link is missed with
 #: probability (1 - 0.85**5)**20, under 1e-5.
@@ -111,7 +111,8 @@ def _confirmed(percent: int):
     """Links of one block: its left rows against its other rows of a like size and another component.
 
     In a bucket's blocks a pair counts only at the first band that it shares, and two rows that both come as
-    left count once.
+    left count once. Components that an earlier link of the block has joined are not compared again: links of a
+    block make a forest over its components, which connects all that its full links would.
     """
 
     def run(pdf):
@@ -122,13 +123,15 @@ def _confirmed(percent: int):
         sets = [np.frombuffer(s, dtype=np.uint64) for s in right["set"]]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         values, of = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
-        comps, nodes, twice = (right[c].to_numpy() for c in ("comp", "node", "twice"))
+        nodes, twice = (right[c].to_numpy() for c in ("node", "twice"))
+        number = {c: i for i, c in enumerate(sorted({*right["comp"], *left["comp"]}))}
+        comp, joined = np.array([number[c] for c in right["comp"]], dtype=np.int64), np.arange(len(number))
         band = int(pdf["band"].iloc[0])
         earlier = np.stack([np.asarray(b[:band]) for b in right["bands"]]) if band > 0 and len(right) else None
         found = []
         for x in left.itertuples(index=False):
             own = np.frombuffer(x.set, dtype=np.uint64)
-            may = (sizes * 100 >= percent * len(own)) & (len(own) * 100 >= percent * sizes) & (comps != x.comp)
+            may = (sizes * 100 >= percent * len(own)) & (len(own) * 100 >= percent * sizes) & (joined[comp] != joined[number[x.comp]])
             if twice.any():
                 may &= ~(twice & (nodes <= x.node))
             if earlier is not None:
@@ -139,7 +142,10 @@ def _confirmed(percent: int):
             at = np.minimum(np.searchsorted(own, values[pick]), len(own) - 1)
             both = np.bincount(of[pick], weights=own[at] == values[pick], minlength=len(sets)).astype(np.int64)
             for j in np.flatnonzero(may & (100 * both >= percent * (len(own) + sizes - both))):
-                found.append((x.node, nodes[j]))
+                mine, other = joined[number[x.comp]], joined[comp[j]]
+                if mine != other:
+                    joined[joined == other] = mine
+                    found.append((x.node, nodes[j]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -174,9 +180,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # Full sets, of the nodes in buckets only, made again from the text of each node's least id.
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     wanted = save(wanted, "neardup-wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    hinted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(hinted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = save(texts.mapInArrow(_sets(words), "node binary, set binary").where("node is not null"), "neardup-sets")
 
     # First each bucket's least node against the others; a center's members are dealt into blocks.
@@ -190,6 +195,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     center = blocks.select("center", salt).select(F.struct("center", "_s").alias("block"), *flags(True, False), F.col("center").alias("node"), F.col("center").alias("comp"), F.lit(0).alias("band"), no_bands)
     links = _links(member.unionByName(center), sets, percent, "neardup-links")
     comps = save(components(links, "neardup-first"), "neardup-first")
+    discard(wanted, links)
 
     # Then whatever is still apart in a bucket, its center aside: rows outside the bucket's largest component
     # against all rows, in blocks.
@@ -207,6 +213,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     right = apart.withColumns({"_r": F.pmod(h, F.col("_kr")), "_l": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_kl") - 1))})
     members = left.select(block, *flags(True, False), *rows).unionByName(right.select(block, F.lit(False).alias("left"), F.col("_other").alias("twice"), *rows))
     more = _links(members, sets, percent, "neardup-more")
+    discard(sets, buckets)
 
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "neardup-last")
     named = save(nodes.select("node", "doc_id").join(comps, "node").select("node", "comp", "doc_id"), "neardup-comps")
