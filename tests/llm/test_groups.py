@@ -149,6 +149,54 @@ def test_removed_lines_are_equal_or_near_to_an_earlier_one(spark, documents):
                     assert any(edits(e, z) <= 0.1 * max(len(e), len(z)) for e in earlier), (i, k)
 
 
+def near_pairs(documents):
+    """Of each band of lengths (words): lines of the corpus, and copies with scattered edits, at the limit and at half of it."""
+    rng = np.random.default_rng(11)
+    every = sorted({norm(x) for r in documents.collect() for x in r.text.split("\n")})
+    for low, high in ((8, 16), (16, 32), (32, 64), (64, 200)):
+        some = [x for x in every if low <= len(x.split(" ")) < high]
+        for i in rng.permutation(len(some))[:60]:
+            a = some[i]
+            for kind, edited in (("letter", 1), ("half", len(a) // 20), ("limit", len(a) // 10)):
+                b = list(a)
+                for j in rng.choice([j for j, c in enumerate(a) if c != " "], max(1, edited), replace=False):
+                    b[j] = "a" if b[j] != "a" else "b"
+                yield low, kind, a, "".join(b)
+
+
+def test_recall_of_near_lines_by_length(spark, documents):
+    pairs = list(near_pairs(documents))  # a copy is at most its number of replaced letters away
+    texts = {x for p in pairs for x in p[2:]}
+    classes = spark.createDataFrame([(x,) for x in texts], "t string").select(F.xxhash64("t").alias("h1"), "t")
+    keys, ids = {}, {r.t: r.h1 for r in classes.collect()}
+    for r in lines._keyed(classes).collect():
+        keys.setdefault(r.h1, set()).add(r.k)
+    found = {}
+    for low, kind, a, b in pairs:
+        found.setdefault((low, kind), []).append(bool(keys[ids[a]] & keys[ids[b]]))
+    recall = {k: round(float(np.mean(v)), 3) for k, v in found.items()}
+    print(recall)
+    assert len(recall) == 12
+    assert all(v >= {"letter": 0.99, "half": 0.95, "limit": 0.6}[kind] for (_, kind), v in recall.items()), recall
+
+
+def test_near_lines_of_every_length_are_removed(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (8, 10, 14, 20, 40):
+        for _ in range(20):
+            words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(n)]
+            changed = list(words)
+            changed[n // 2] = changed[n // 2][:2] + "z" + changed[n // 2][2:]
+            rows += [" ".join(words), " ".join(changed)]
+    # 10 edits in 100 characters are the exact limit.
+    exact = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 4)) for _ in range(20)) + "a"
+    rows += [exact, exact[:40] + " ".join(["zzzz", "zzzz", "zz"]) + exact[52:]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    gone = {r.doc_id for r in lines.repeated(docs).collect()}
+    assert edits(rows[-2], rows[-1]) == 10 and gone == {i for i in range(len(rows)) if i % 2}
+
+
 def test_line_edges(nasty):
     assert lines.dedup(nasty.limit(0)).count() == 0
     assert lines.dedup(nasty).count() == nasty.count()
