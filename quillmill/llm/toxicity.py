@@ -125,15 +125,15 @@ def _counts(batches):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, bound: int = 20_000, seed: str = "toxic-1", least: int = 3, lift: float = 4.0) -> Bag:
     """The model from at most ``bound`` labelled documents; labels of the held-out remainder are never read.
 
-    Features are the buckets in at least ``least`` toxic documents whose share of toxic documents is over
-    ``lift`` times the overall one: 2**BITS at most, whatever the corpus.
+    Features are the buckets in at least ``least`` toxic documents whose odds of toxic documents are over ``lift``
+    times the overall ones, which is possible at every share of toxic labels: 2**BITS at most, whatever the corpus.
     """
     rows = labelled(docs, labels, label, modulus, held, bound, seed).select("y", "text")
     bags = save(rows.mapInArrow(_bags, "y int, n long, keys array<long>"), "toxicity-bags")
     share = bags.agg(F.sum("y"), F.count("*")).first()
     base = (share[0] or 0) / max(1, share[1])
     seen = bags.select("y", "keys").mapInArrow(_counts, "bucket int, every long, toxic long").groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("toxic").alias("toxic"))
-    seen = seen.where((F.col("toxic") >= least) & ((F.col("toxic") + base) / (F.col("every") + 1) > lift * base)).toArrow()
+    seen = seen.where((F.col("toxic") >= least) & ((F.col("toxic") + base) * (1 - base) > lift * base * (F.col("every") - F.col("toxic") + 1 - base))).toArrow()
     good = np.zeros(1 << BITS, dtype=bool)
     good[np.array(seen["bucket"].combine_chunks(), dtype=np.int64)] = True
 

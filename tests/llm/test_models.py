@@ -80,6 +80,18 @@ def test_noisy_or_finds_the_sentence(spark):
             assert any("vile" in rows[i][1][s.start : s.end] for s in got[i].spans)
 
 
+def test_toxic_is_told_from_clean_at_any_share_of_labels(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    for share in (0.25, 0.5, 0.75):
+        toxic = rng.random(600) < share
+        rows = [(i, ". ".join(" ".join(rng.choice(words, 6)) for _ in range(4)) + (" vile." if t else "."), int(t)) for i, t in enumerate(toxic)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).collect()}
+        held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+        assert np.mean([got[i] == toxic[i] for i in held]) > 0.97, share
+
+
 def test_toxicity_edges(spark, nasty, labels):
     rows = toxicity.score(nasty, toxicity.fit(nasty, labels)).collect()
     assert len(rows) == nasty.count() and all(0 <= r.score <= 1 for r in rows)
