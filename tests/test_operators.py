@@ -126,3 +126,31 @@ def test_run_log_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert sorted((r.ok, r.fail, r.ratio) for r in spark.table("progress").collect()) == [(1, 0, 0.0), (1, 1, 0.5)]
     assert run_log.should_abort(1, 1, 0.4) and not run_log.should_abort(9, 1, 0.4) and run_log.should_abort(9, 1, 0.4, True)
+
+
+def test_every_block_is_placed(spark):
+    from quillmill.operators import generation
+
+    pages = spark.createDataFrame([(i, n) for i in range(60) for n in [1 + i % 30]], "page_id long, line_count long")
+    rows = generation.place(pages).collect()
+    assert len(rows) == sum(min(12, 1 + i % 30) for i in range(60))
+    assert all(20 <= r.h and r.y + r.h <= 800 - 48 for r in rows) and any(r.shrunk for r in rows)
+
+
+def test_every_box_is_packed(spark):
+    from quillmill.operators import generation
+
+    boxes = [(1, i, 0, 0, 200, 200) for i in range(40)] + [(2, 0, 500, 700, 900, 50), (2, 1, 10, 10, 20, 20)]
+    rows = generation.pack(spark.createDataFrame(boxes, "page long, pos long, x long, y long, w long, h long"), 600, 800).collect()
+    assert sorted((r.page, r.pos) for r in rows) == [b[:2] for b in boxes]
+    assert all(r.x >= 0 and r.x + r.w <= 600 and r.y >= 0 and r.y + r.h <= 800 for r in rows if r.w < 600)
+    assert sum(r.overlaps for r in rows if r.page == 1) >= 40 - 12 and not any(r.overlaps for r in rows if r.page == 2 and r.pos == 0)
+
+
+def test_queries_keep_their_boxes(spark, sf):
+    from quillmill import catalogue
+    from quillmill.sources import tables as T
+
+    assert catalogue.QUERIES["occupancy_pack"](spark, sf).count() == T.boxes(spark, sf).count()
+    planned = T.doc_pages(spark, sf).selectExpr("sum(least(12, greatest(1, line_count))) AS n").first().n
+    assert catalogue.QUERIES["block_placement"](spark, sf).count() == planned
