@@ -1,6 +1,7 @@
 """Licence families of paragraphs, by sparse n-gram logistic regression confirmed against templates.
 
-A paragraph (a line of the text) is classified by softmax regression over the word 1- to 3-grams that occur in
+A paragraph (a line of the text, or adjacent lines that share 2-grams with the templates, as a wrapped notice has
+them; comment marks are no words) is classified by softmax regression over the word 1- to 3-grams that occur in
 any template; class 0 is ``unknown``, trained on corpus paragraphs and on shuffled licence words, and all
 probabilities are calibrated by temperature on a fold that training doesn't see. A family counts only if one of
 its templates is largely contained in the paragraph.
@@ -130,6 +131,28 @@ class Model:
             out[f] = max(tuple(out[f]), (2 * both / (len(t) + len(own)), both / len(t)))
         return out
 
+    def runs(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
+        """First and last line of each run of two adjacent lines or more, if every pair of neighbours or line has a template's 2-gram.
+
+        A line without a word, such as a blank one, ends a run; so does one that has no template's 2-gram inside or
+        across its ends.
+        """
+        if len(doc) < 2:
+            return []
+        known = np.unique(np.concatenate([t for _, t in self.templates]))
+        hit = np.isin(T.ngram_hashes(h, 2), known) if len(h) > 1 else np.zeros(0, dtype=bool)
+        near = (doc[1:] == doc[:-1]) & (start[1:] == end[:-1] + 1)
+        a, b = of[:-1][hit], of[1:][hit]
+        same = (a == b) | near[np.minimum(a, len(near) - 1)]
+        some = np.zeros(len(doc), dtype=bool)
+        some[a[same]] = some[b[same]] = True
+        linked = near & some[1:] & some[:-1]
+        step = np.diff(linked.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+    def likeness(self, h: np.ndarray, family: int) -> float:
+        return float(self.contained(h)[family, 0])
+
     def confirmed(self, p: np.ndarray, h: np.ndarray, share: float) -> int:
         """The family most like the paragraph among those contained to ``share`` (of equals the likeliest); 0 without any."""
         like, inside = self.contained(h).T
@@ -137,6 +160,17 @@ class Model:
         return int(np.argmax(np.where(like >= like.max() - 1e-9, p, -1))) if like.max() > 0 else 0
 
 
+def _parts(runs: list[tuple[int, int]], alone: dict):
+    """What is left of each run between the lines that are findings by themselves, if that is two lines or more."""
+    for i, j in runs:
+        first = i
+        for k in range(i, j + 2):
+            if k > j or k in alone:
+                if k - first > 1:
+                    yield first, k - 1
+                first = k + 1
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -214,6 +248,9 @@ def fit(docs: DataFrame, sample: int = 1000, copies: int = 40, steps: int = 150,
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0.6) -> DataFrame:
     """doc_id, n_paragraphs and findings (family, start, end, score) for every row and its whole text.
 
+    Paragraphs are lines; a run of adjacent lines is tried as one too, so that wrapped notices are found. Its finding
+    reaches from the first line to the last and replaces those of its lines, if a template is more like the run than
+    like any of them; otherwise the parts between its findings are tried.
     A finding is a paragraph whose likeliest family isn't unknown and has at least ``threshold`` probability, if
     a template has ``share`` of its 2-grams there. Its family is the one whose templates fit best (of equals the likeliest);
     its score is one less the probability of unknown. Offsets are code points, end exclusive. Null and empty texts have no paragraphs
@@ -235,15 +272,34 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0
                 p = model.probabilities(local, gram, len(some)) if len(some) else np.zeros((0, len(FAMILIES)))
                 best = p.argmax(axis=1)
                 good = np.flatnonzero((best > 0) & (p.max(axis=1, initial=0) >= threshold))
-                if len(good):
+                wrapped = model.runs(doc, start, end, of, h)
+                if len(good) or wrapped:
                     before = T.code_points_before(raw)
                     words = np.searchsorted(of, np.arange(len(doc) + 1))
+                    alone = {}
                     for k in good:
                         i = some[k]
                         family = model.confirmed(p[k], h[words[i] : words[i + 1]], share)
                         if family:
                             base = before[off[doc[i]]]
                             rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[i]] - base), "score": float(1 - p[k, 0])})
+                            alone[int(i)] = rows[doc[i]][-1], model.likeness(h[words[i] : words[i + 1]], family)
+                    tries = [(i, j, True) for i, j in wrapped]
+                    while tries:
+                        i, j, whole = tries.pop()
+                        own = h[words[i] : words[j + 1]]
+                        one = np.zeros(len(own), dtype=np.int64)
+                        q = model.probabilities(*model.hits(one, own), 1)[0]
+                        family = model.confirmed(q, own, share) if q.argmax() > 0 and q.max() >= threshold else 0
+                        inside = [alone[k] for k in range(i, j + 1) if k in alone]
+                        if family and all(model.likeness(own, family) > like for _, like in inside):
+                            rows[doc[i]] = [x for x in rows[doc[i]] if not any(x is y for y, _ in inside)]
+                            base = before[off[doc[i]]]
+                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[j]] - base), "score": float(1 - q[0])})
+                        elif whole and inside:
+                            tries += [(first, last, False) for first, last in _parts([(i, j)], alone)]
+                    for listed in rows:
+                        listed.sort(key=lambda x: x["start"])
                 found += rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(found, pa.list_(kind))], names=["doc_id", "n_paragraphs", "findings"])
 

@@ -1,5 +1,6 @@
 """Quality, toxicity, licences, language: held-out accuracy, edge cases and small brute-force checks."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -122,6 +123,25 @@ def test_licences(spark):
     assert got[5].n_paragraphs == got[6].n_paragraphs == 0
 
 
+def test_wrapped_notices_of_every_family(spark):
+    rows, want = [], {}
+    for family, texts in sorted(licenses.TEMPLATES.items()):
+        for text in texts:
+            for width in (40, 60, 76):
+                for mark in ("", "# ", " * ", "// "):
+                    lines = textwrap.wrap(text, width)
+                    if len(lines) > 1:
+                        want[len(rows)] = (family, text, width, mark)
+                        rows.append((len(rows), "import one two\n\n" + "\n".join(mark + x for x in lines) + f"\n{mark}\nother words of the program follow here"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [f.family for f in r.findings] for r in licenses.scan(docs, licenses.fit(docs.limit(0))).collect()}
+    lost = [(want[i], got[i]) for i in want if want[i][0] not in got[i]]
+    assert {f for f, *_ in want.values()} == set(licenses.TEMPLATES)
+    assert not lost, (len(lost), len(want), lost[:12])
+    plain = spark.createDataFrame([(1, "We go to the license office\nunder all of the rights\nof the people of this program\nand the terms of the use")], "doc_id long, text string")
+    assert licenses.scan(plain, licenses.fit(docs.limit(0))).first().findings == []
+
+
 def test_licence_edges(spark, nasty):
     none = nasty.limit(0)
     assert licenses.scan(none, licenses.fit(none)).count() == 0
