@@ -12,7 +12,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """node, comp (its component's least node) of every node that an edge (a, b) has; loops and repeats do no harm.
 
     Each round is written to the shared folder, so plans stay short and a lost executor costs one round at most.
@@ -20,7 +20,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """
     edges = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     state = None
-    for _ in range(rounds):
+    while True:  # the two stars settle after a number of rounds that grows with the logarithm of the nodes
         ways = _both_ways(edges)
         least = ways.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
         large = ways.where("b > a").join(least, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
@@ -33,7 +33,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     # Stars: every edge leads from a node to its component's least node.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    every = edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    every = save(every, name)
+    discard(edges)
+    return every

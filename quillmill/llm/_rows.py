@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identities that may be broadcast (24 bytes each); beyond, a shuffled join takes the same rows.
-BROADCAST_ROWS = 1_000_000
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where docs has such a column in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def key() -> Column:
@@ -14,21 +22,19 @@ def key() -> Column:
     return F.xxhash64("text")
 
 
-def _hinted(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, key) are in ``rows``, a written table."""
-    rows = _hinted(rows.select(F.col("doc_id").alias("_rows_id"), F.col("key").alias("_rows_key")).distinct())
-    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_rows_id")) & (key() == F.col("_rows_key")), "left_anti")
+    """docs without the rows whose (doc_id, key) are in ``rows``, a written table; any other columns stay."""
+    _id, _key = free(docs, "rows_id", "rows_key")
+    rows = rows.select(F.col("doc_id").alias(_id), F.col("key").alias(_key)).distinct()
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col(_id)) & (key() == F.col(_key)), "left_anti")
 
 
 def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """docs with one row of each (doc_id, key) in ``repeated``, a written table; other rows as they are."""
     if repeated.isEmpty():
         return docs
-    rows = _hinted(repeated.select(F.col("doc_id").alias("_rows_id"), F.col("key").alias("_rows_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_rows_id")) & (key() == F.col("_rows_key"))
-    some = docs.withColumn("_rows_text", key()).join(rows, same, "left_semi").dropDuplicates(["doc_id", "_rows_text"]).drop("_rows_text")
+    _id, _key, own = free(docs, "rows_id", "rows_key", "rows_own")
+    rows = repeated.select(F.col("doc_id").alias(_id), F.col("key").alias(_key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(_id)) & (key() == F.col(_key))
+    some = docs.withColumn(own, key()).join(rows, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return docs.join(rows, same, "left_anti").unionByName(some)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one made for this session."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset (tests in one process), one made for this session.
+
+    On a cluster an unset folder is an error: executors would write to disks of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_quillmill_dir", None)
         if base is None:
             base = spark._quillmill_dir = "file://" + tempfile.mkdtemp(prefix="quillmill-")
@@ -27,12 +33,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Writes the table and reads it again: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quillmill_path = path
     return table
 
 
+def release(saved: DataFrame) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are no longer referenced, such as those behind ``saved``."""
+    gc.collect()
+    saved.sparkSession._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads; tables that were derived from saved ones stay."""
     for table in tables:
