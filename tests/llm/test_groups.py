@@ -165,24 +165,36 @@ def near_pairs(documents):
 
 
 def brute_sketch(line):
+    """Signed values: 54 bits of the gram's hash, 10 of its place among the grams of its kind."""
     words = line.split(" ")
-    hashed = lambda g: xxhash.xxh64_intdigest(g.encode(), 42)
-    grams = {hashed(" ".join(words[i : i + 3])[: lines.GRAM]) & (1 << 63) - 1 | (len(w) < lines.LONG) << 63 for i, w in enumerate(words)}
-    return sorted(grams)[: lines.SAMPLE]
+    grams = [" ".join(words[i : i + 8])[: lines.GRAM] for i in range(len(words))]
+    long = [g for w, g in zip(words, grams, strict=True) if len(w) >= lines.LONG]
+    short = list(dict.fromkeys(g for g in grams if g not in set(long))) if len(long) < lines.SAMPLE else []
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    made = lambda gs: sorted(signed(xxhash.xxh64_intdigest(g.encode(), 42)) & -lines.PLACES | i * lines.PLACES // len(gs) for i, g in enumerate(gs))
+    return (made(long)[: lines.SAMPLE] + made(short))[: lines.SAMPLE]
+
+
+def meets(a, b):
+    x, y = brute_sketch(a), brute_sketch(b)
+    apart = lines.PLACES // 6 + 15 * lines.PLACES / max(len(a), len(b))
+    same = [(i, j) for i, u in enumerate(x) for j, v in enumerate(y) if u // lines.PLACES == v // lines.PLACES and abs(u % lines.PLACES - v % lines.PLACES) <= apart]
+    return any(i < k and j < m for i, j in same for k, m in same)
 
 
 def test_sketch_equals_brute_force(spark, documents):
-    some = sorted({norm(x) for r in documents.where("doc_id < 60").collect() for x in r.text.split("\n")} - {""}) + ["漢字 des 😀 été " * 9 + "x"]
-    rows = spark.createDataFrame([(x,) for x in some], "t string").withColumn("w", F.split("t", " ")).select("t", lines.sketch("w").alias("s")).collect()
-    for r in rows:
-        assert [x ^ -(1 << 63) if x < 0 else x | 1 << 63 for x in r.s] == brute_sketch(r.t), r.t
+    some = sorted({norm(x) for r in documents.where("doc_id < 60").collect() for x in r.text.split("\n")} - {""}) + ["漢字 des 😀 été " * 9 + "x", "a b c d e f g h"]
+    rows = spark.createDataFrame([(x, x) for x in some], "t string, line string")
+    for r in lines._sketched(rows, 8).collect():
+        assert (r.sketch is None) == (r.line.count(" ") < 7) and (r.sketch is None or r.size == len(r.line))
+        assert r.sketch is None or list(r.sketch) == brute_sketch(r.line), r.line
 
 
 def test_recall_of_near_lines_by_length(spark, documents):
     """A copy is at most its number of replaced letters away; blocks are pairs of sketch values."""
     found = {}
     for low, kind, a, b in near_pairs(documents):
-        found.setdefault((low, kind), []).append(len(set(brute_sketch(a)) & set(brute_sketch(b))) >= 2)
+        found.setdefault((low, kind), []).append(meets(a, b))
     recall = {k: round(float(np.mean(v)), 3) for k, v in found.items()}
     print(recall)
     assert len(recall) == 12
@@ -191,10 +203,11 @@ def test_recall_of_near_lines_by_length(spark, documents):
 
 def test_near_pairs_of_the_corpus_are_connected(spark, documents):
     """Against brute force over all pairs of different lines: those of edit similarity 0.9 are in one group."""
-    classes = lines._classes(lines._lines(documents.select("doc_id", "text")), 8)
-    classes = corpus_pipeline.save(classes, "test-classes")
-    texts = sorted(((r.t, bytes(r.node)) for r in classes.where("t is not null and size < 700").collect()), key=lambda x: len(x[0]))
-    comp = {bytes(r.node): bytes(r.comp) for r in lines._fuzzy(classes, 0.9).collect()}
+    every = corpus_pipeline.save(lines._lines(documents.select("doc_id", "text")), "test-lines")
+    classes = every.groupBy("h1", "h2").agg(F.any_value("t").alias("t"))
+    texts = sorted(((r.t, f"{r.h1}:{r.h2}") for r in classes.collect() if r.t.count(" ") > 6 and len(r.t) < 700), key=lambda x: len(x[0]))
+    classes = corpus_pipeline.save(lines._sketched(classes, 8), "test-classes")
+    comp = {f"{r.node.h1}:{r.node.h2}": r.comp for r in lines._fuzzy(every, classes, 0.9).collect()}
     counts = [np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t, _ in texts]
     maybe = []
     for i, (a, x) in enumerate(texts):
@@ -205,8 +218,8 @@ def test_near_pairs_of_the_corpus_are_connected(spark, documents):
             # An edit replaces one code point, of two bytes at most in this corpus, by another.
             if np.abs(counts[i] - counts[j]).sum() <= 4 * 0.1 * len(b):
                 maybe.append((x, y, a, b, len(b) // 10))
-    near = spark.createDataFrame(maybe, "x binary, y binary, a string, b string, most int").where("levenshtein(a, b, most) >= 0")
-    pairs = [(bytes(r.x), bytes(r.y)) for r in near.collect()]
+    near = spark.createDataFrame(maybe, "x string, y string, a string, b string, most int").where("levenshtein(a, b, most) >= 0")
+    pairs = [(r.x, r.y) for r in near.collect()]
     joined = [x in comp and comp[x] == comp.get(y) for x, y in pairs]
     print(len(pairs), sum(joined))
     assert len(pairs) > 10 and np.mean(joined) >= 0.9
