@@ -36,6 +36,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quillmill_path = path
+    _written.append(table)
+    return table
+
+
+#: Tables written and not yet discarded, in order; ``settle`` discards from a mark on.
+_written: list[DataFrame] = []
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def settle(df: DataFrame, name: str, since: int, *keep: DataFrame) -> DataFrame:
+    """Saves df, then discards all tables saved since the mark but df and ``keep``, with their plans' shuffle files."""
+    table = save(df, name)
+    discard(*(t for t in _written[since:] if t is not table and all(t is not k for k in keep)))
+    release(table)
     return table
 
 
@@ -49,6 +66,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads; tables that were derived from saved ones stay."""
     for table in tables:
         path = getattr(table, "_quillmill_path", None)
+        _written[:] = [t for t in _written if t is not table]
         if path is not None:
             spark = table.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)

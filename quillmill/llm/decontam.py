@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._rows import without
-from ._store import save
+from ._store import mark, save, settle
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -105,7 +105,8 @@ def proximity(index: DataFrame, tokens: DataFrame, within: int = 20, rarest: int
     """doc_id, key, item, start: where an item's ``rarest`` least frequent terms all occur within ``within`` words.
 
     Items with fewer distinct terms that occur need all of those. Positions are dealt into overlapping stretches
-    of twice ``within`` words, so each candidate group is as small as a stretch.
+    of twice ``within`` words, so each candidate group is as small as a stretch. Terms of equal frequency go by
+    their number; null texts have no terms; empty tables give no rows.
     """
     frequency = index.where("term <> 0").groupBy("term").agg(F.count("*").alias("freq"))
     terms = tokens.select("item", "term").distinct().join(frequency, "term")
@@ -147,6 +148,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, rarest: i
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the documents that hold a window of any item; all columns stay."""
+    """docs without the documents that hold a window of any item; all columns stay.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; without items every row stays.
+    """
+    since = mark()
     marks = contamination(docs, items, window)
-    return without(docs, save(marks.where("n_hit > 0").select("doc_id", "key"), "decontam-gone"))
+    return without(docs, settle(marks.where("n_hit > 0").select("doc_id", "key"), "decontam-gone", since))

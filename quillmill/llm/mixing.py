@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._rows import key, once
-from ._store import save
+from ._rows import free, key, once
+from ._store import mark, save, settle
 
-#: Sources and patterns are nodes of a network on the driver; more than this is an error, not a truncation.
+#: Patterns that the driver's flow network takes. If there are more and each is one source, the network falls apart into
+#: single arcs, whose flows are the targets: these are solved as a table, for any number of sources.
 MAX_NODES = 100_000
 #: Seeded order is dealt over this many buckets for each pattern, so a hot source is never one task.
 BUCKETS = 4096
@@ -108,6 +109,55 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int) -> d
     return {k: arcs[i ^ 1][1] for k, i in route.items() if arcs[i ^ 1][1]}
 
 
+def _alone(pools: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """sources, pattern, pool, quota, source_sizes, source_targets as of ``_network``, where every pattern is one source.
+
+    Ranks come from sorted ranges and their sizes; each round fixes the sources that would be above their cap, and
+    the number of rounds is at most that of the distinct ratios of cap to weight, in practice a few.
+    """
+    rows = pools.select("sources", F.get("sources", F.lit(0)).alias("_s"), "pool")
+    rows = rows.repartitionByRange(F.col("_s").asc_nulls_last()).withColumn("_p", F.spark_partition_id())
+    rows = save(rows.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(F.col("_s").asc_nulls_last()))), "mix-ranks")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offset = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.col("_off") + F.col("_r") - 1
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights)).cast("int"))
+    rows = save(rows.join(F.broadcast(offset), "_p").select("sources", "pool", (rank + 1).alias("pattern"), weight.alias("_w"), (F.col("pool") * cap).cast("double").alias("_cap")), "mix-weights")
+    left = share * (rows.agg(F.sum("pool")).first()[0] or 0)
+    total, level = left, None
+    while True:
+        # Below ``level`` words for each unit of weight no open source is above its cap; a level only rises.
+        closed = F.lit(False) if level is None else F.col("_cap") < level * F.col("_w")
+        fixed, unit = rows.agg(F.coalesce(F.sum(F.when(closed, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~closed, F.col("_w"))), F.lit(0.0))).first()
+        if not unit or (level is not None and (total - fixed) / unit <= level * (1 + 1e-12)):
+            break
+        level = (total - fixed) / unit
+    want = F.col("_cap") if level is None or not unit else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
+    return rows.select("sources", "pattern", "pool", F.round(want).cast("long").alias("quota"), F.array("pool").alias("source_sizes"), F.array(want).alias("source_targets"))
+
+
+def _network(pools: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """As ``_alone`` for patterns of several sources, by the flow network on the driver."""
+    patterns = pools.limit(MAX_NODES + 1).collect()
+    if len(patterns) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} membership patterns, some of several sources")
+    patterns = sorted(((tuple(r.sources), r.pool) for r in patterns), key=lambda x: tuple((s is None, s or "") for s in x[0]))
+    sizes: dict = defaultdict(int)
+    for p, n in patterns:
+        for s in p:
+            sizes[s] += n
+    want = targets(dict(sizes), weights, share, cap)
+    name = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    flow = min_cost_flow({i: n for i, (_, n) in enumerate(patterns)}, {i: [name[s] for s in p] for i, (p, _) in enumerate(patterns)}, {name[s]: round(w) for s, w in want.items()}, cap)
+    quota: dict = defaultdict(int)
+    for (p, _), n in flow.items():
+        quota[p] += n
+    return pools.sparkSession.createDataFrame(
+        [(list(p), i, n, quota[i], [sizes[s] for s in p], [want[s] for s in p]) for i, (p, n) in enumerate(patterns)],
+        "sources array<string>, pattern long, pool long, quota long, source_sizes array<long>, source_targets array<double>",
+    )
+
+
 def _ordered(rows: DataFrame, doc_id: str) -> DataFrame:
     """rows with _last: the running size to each row's end, in its pattern's seeded order (buckets ``_b``, then hash and id).
 
@@ -129,7 +179,6 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
     separate documents; tied seeded keys go by doc_id, then text hash. An empty table gives no rows. Columns
     of other names in ``docs`` are ignored, so clashing names cannot arise.
     """
-    spark = docs.sparkSession
     sized = save(
         docs.select(
             F.col(doc_id).alias("doc_id"),
@@ -140,26 +189,15 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
         ),
         "mix-sizes",
     )
-    patterns = sized.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
-    if len(patterns) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} membership patterns")
-    patterns = sorted(((tuple(r.sources), r.size) for r in patterns), key=lambda x: tuple((s is None, s or "") for s in x[0]))
-    sizes: dict = defaultdict(int)
-    for p, n in patterns:
-        for s in p:
-            sizes[s] += n
-    want = targets(dict(sizes), weights, share, cap)
-    name = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
-    flow = min_cost_flow({i: n for i, (_, n) in enumerate(patterns)}, {i: [name[s] for s in p] for i, (p, _) in enumerate(patterns)}, {name[s]: round(w) for s, w in want.items()}, cap)
-    quota: dict = defaultdict(int)
-    for (p, _), n in flow.items():
-        quota[p] += n
-    plan = spark.createDataFrame(
-        [(i, list(p), n, quota[i], [sizes[s] for s in p], [want[s] for s in p]) for i, (p, n) in enumerate(patterns)],
-        "pattern int, sources array<string>, pool long, quota long, source_sizes array<long>, source_targets array<double>",
-    )
-    # The plan has MAX_NODES rows at most: a bounded broadcast.
-    rows = sized.join(F.broadcast(plan), sized["sources"].eqNullSafe(plan["sources"])).drop(plan["sources"])
+    pools = save(sized.groupBy("sources").agg(F.sum("size").alias("pool")), "mix-patterns")
+    if pools.count() > MAX_NODES and pools.where(F.size("sources") > 1).isEmpty():
+        plan = _alone(pools, weights, share, cap)
+        # A row for each source; its size decides how it is joined.
+        rows = sized.join(plan, sized["sources"].eqNullSafe(plan["sources"])).drop(plan["sources"])
+    else:
+        plan = _network(pools, weights, share, cap)
+        # The plan has MAX_NODES rows at most: a bounded broadcast.
+        rows = sized.join(F.broadcast(plan), sized["sources"].eqNullSafe(plan["sources"])).drop(plan["sources"])
     # Full passes over the pool, then the seeded prefix that still fits whole. Documents of over a fiftieth of what is
     # left to take come first, the largest before all: where they matter, the others can still fill up (1000 at most
     # of each pattern).
@@ -195,11 +233,14 @@ def mix(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc
 def take(docs: DataFrame, sources: Column, **options) -> DataFrame:
     """The documents that the mix takes: all columns of docs, then mix_size, mix_copies and mix_taken.
 
-    Rows that repeat an id and text share their copies out among as many rows.
+    Rows that repeat an id and text share their copies out among as many rows. Where docs has columns of the three
+    names, underscores are put before the new ones.
     """
-    mixed = save(mix(docs, sources, **options).select("doc_id", "key", "size", "copies", "taken"), "mix-taken")
+    since = mark()
+    size, copies, taken, _id, _key, listed = free(docs, "mix_size", "mix_copies", "mix_taken", "mix_id", "mix_key", "mix_list")
+    mixed = settle(mix(docs, sources, **options).select("doc_id", "key", "size", "copies", "taken"), "mix-taken", since)
     repeated = save(mixed.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
-    shares = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"))
-    shares = shares.agg(F.collect_list(F.struct(F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"))).alias("_mix"))
-    rows = once(docs, repeated).join(shares, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (key() == F.col("_mix_key")))
-    return rows.select(*docs.columns, F.explode("_mix").alias("_mix")).select(*docs.columns, "_mix.*")
+    shares = mixed.where("copies > 0").groupBy(F.col("doc_id").alias(_id), F.col("key").alias(_key))
+    shares = shares.agg(F.collect_list(F.struct(F.col("size").alias(size), F.col("copies").alias(copies), F.col("taken").alias(taken))).alias(listed))
+    rows = once(docs, repeated).join(shares, F.col("doc_id").eqNullSafe(F.col(_id)) & (key() == F.col(_key)))
+    return rows.select(*docs.columns, F.explode(listed).alias(listed)).select(*docs.columns, f"{listed}.*")

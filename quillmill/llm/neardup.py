@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._graph import components
 from ._rows import key, once, without
-from ._store import discard, save
+from ._store import discard, mark, save, settle
 
 #: Coordinates of a sketch; bands of ROWS coordinates. At a Jaccard index of 0.85 a link is missed with
 #: probability (1 - 0.85**5)**20, under 1e-5.
@@ -225,7 +225,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat an id and text one stays.
     """
-    groups = save(group(docs, words, percent), "neardup-groups")
+    since = mark()
+    groups = settle(group(docs, words, percent), "neardup-groups", since)
     repeated = save(groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-repeated")
     gone = save(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key"), "neardup-gone")
+    discard(groups)
     return once(without(docs, gone), repeated)

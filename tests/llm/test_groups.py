@@ -301,6 +301,18 @@ def test_mixing_comes_near_its_targets(spark):
         assert r.target - max(10, 0.01 * r.target) <= r.taken <= r.target + 1, r
 
 
+def test_many_sources_are_solved_as_a_table_with_the_same_result(spark, monkeypatch):
+    rows = [(i, "w " * (i * i % 97), None if i % 40 == 39 else f"s{i % 40:02d}" if i % 3 else "é") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(mixing.mix(docs, F.array("source")).collect(), key=repr)
+    monkeypatch.setattr(mixing, "MAX_NODES", 0)
+    second = sorted(mixing.mix(docs, F.array("source")).collect(), key=repr)
+    assert [r[:-3] + r[-2:] for r in first] == [r[:-3] + r[-2:] for r in second]
+    assert all(abs(a.source_targets[0] - b.source_targets[0]) < 1e-6 for a, b in zip(first, second, strict=True))
+    got = mixing.mix(docs.limit(0), F.array("source"))
+    assert got.count() == 0
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["a"] if i < 50 else ["a", "b"] if i < 80 else ["b"]) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
