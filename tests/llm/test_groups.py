@@ -201,6 +201,12 @@ def test_recall_of_near_lines_by_length(spark, documents):
     assert all(v >= {"letter": 0.99, "half": 0.95, "limit": 0.75}[kind] for (_, kind), v in recall.items()), recall
 
 
+def test_lines_without_broadcast_give_the_same(spark, documents, monkeypatch):
+    first = sorted(map(tuple, lines.repeated(documents).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_BLOCKS", -1)
+    assert sorted(map(tuple, lines.repeated(documents).collect())) == first
+
+
 def test_near_pairs_of_the_corpus_are_connected(spark, documents):
     """Against brute force over all pairs of different lines: those of edit similarity 0.9 are in one group."""
     every = corpus_pipeline.save(lines._lines(documents.select("doc_id", "text")), "test-lines")
