@@ -2,6 +2,8 @@
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range. Sketches of unequal
 documents are comparable and the union of two sketches is the sketch of both: containment needs no common size.
+Short texts keep a larger fraction, by their length class; two sketches are compared, and merged, below the smaller
+of their thresholds, so classes mix freely.
 """
 
 from __future__ import annotations
@@ -15,15 +17,25 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._store import conf_partitions
 
-#: Bytes of a shingle, and the share of hashes that is kept: 1 / SCALE.
+#: Bytes of a shingle; the share of hashes that is kept, 1 / scale, of texts up to so many bytes and of all longer ones.
 SHINGLE = 16
+SCALES = ((256, 1), (1024, 4))
 SCALE = 16
-_LIMIT = np.uint64((1 << 64) // SCALE)
+
+
+def scale(size: int) -> int:
+    """The scale of a text of ``size`` bytes."""
+    return next((s for most, s in SCALES if size <= most), SCALE)
+
+
+def below(hashes: np.ndarray, of: int) -> np.ndarray:
+    """The part of a sorted sketch that a sketch of scale ``of`` has too."""
+    return hashes[: np.searchsorted(hashes, np.uint64((1 << 64) // of))] if of > 1 else hashes
 
 
 def sketch(part: bytes) -> np.ndarray:
-    """Sorted distinct hashes below the threshold, of all shingles of SHINGLE bytes; a shorter text is one shingle."""
-    n = len(part)
+    """Sorted distinct hashes below the text's threshold, of all shingles of SHINGLE bytes; a shorter text is one shingle."""
+    n, of = len(part), scale(len(part))
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
     if n < SHINGLE:
@@ -31,31 +43,38 @@ def sketch(part: bytes) -> np.ndarray:
     view = lambda at: np.ndarray((n - SHINGLE + 1,), "<u8", part, at, (1,)).astype(np.uint64)
     with np.errstate(over="ignore"):
         h = T.mix64(T.mix64(view(0)) * np.uint64(0x9E3779B97F4A7C15) + view(8))
-    return np.unique(h[h < _LIMIT])
+    return np.unique(h if of == 1 else h[h < np.uint64((1 << 64) // of)])
+
 
+def merge(*sketches: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """The sketch of several texts together, from pairs of a sketch and its scale; none give an empty one of scale 1.
 
-def merge(*sketches: np.ndarray) -> np.ndarray:
-    """The sketch of several texts together."""
-    return np.unique(np.concatenate(sketches)) if sketches else np.zeros(0, dtype=np.uint64)
+    Equal hashes count once, and empty sketches add nothing but their scale.
+    """
+    of = max((s for _, s in sketches), default=1)
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(below(h, of) for h, _ in sketches)])), of
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 0 if a's sketch is empty."""
+def containment(a: np.ndarray, b: np.ndarray, of: int = 1) -> float:
+    """Estimated share of a's shingles that b has, below the threshold of scale ``of``; 0 if a has none there."""
+    a, b = below(a, of), below(b, of)
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray, equal: bool) -> float:
-    """Estimated Jaccard index; texts that are equal have 1, others with two empty sketches 0."""
+def likeness(a: np.ndarray, b: np.ndarray, equal: bool, of: int = 1) -> float:
+    """Estimated Jaccard index below the threshold of scale ``of``; equal texts have 1, others with two empty sketches 0."""
     if equal:
         return 1.0
+    a, b = below(a, of), below(b, of)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
 def render(part: bytes, hashes: np.ndarray) -> str:
-    """Eight hex digits of the text's BLAKE2 digest, a colon, and eight of each hash in order."""
-    kept = (hashes * np.uint64(SCALE)) >> np.uint64(32)  # the digits that vary
-    return hashlib.blake2b(part, digest_size=4).hexdigest() + ":" + kept.astype(">u4").tobytes().hex()
+    """Sixteen hex digits of the text's BLAKE2 digest, a colon, the scale, a colon, and eight digits of each hash in order."""
+    of = scale(len(part))
+    kept = (hashes * np.uint64(of)) >> np.uint64(32)  # the digits that vary
+    return f"{hashlib.blake2b(part, digest_size=8).hexdigest()}:{of}:{kept.astype('>u4').tobytes().hex()}"
 
 
 def _blocks(docs: DataFrame, count: int):
@@ -113,7 +132,8 @@ def compare(docs: DataFrame, blocks_per_partition: int = 8) -> DataFrame:
             m = n // 3
             changed = (text[: n - m] + nxt[:m]).encode("utf-8", "replace")
             b = sketch(changed)
-            return (i, n, hashlib.sha256(changed).hexdigest(), render(own, a), render(changed, b), likeness(a, b, own == changed), likeness(a, c, own == other), containment(a, b), containment(a, c))
+            of, far = max(scale(len(own)), scale(len(changed))), max(scale(len(own)), scale(len(other)))
+            return (i, n, hashlib.sha256(changed).hexdigest(), render(own, a), render(changed, b), likeness(a, b, own == changed, of), likeness(a, c, own == other, far), containment(a, b, of), containment(a, c, far))
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
         last = None  # block, and doc_id, text, bytes and sketch of the row that waits for its next
