@@ -3,8 +3,8 @@
 A paragraph (a line of the text, or adjacent lines that share 2-grams with the templates, as a wrapped notice has
 them; comment marks are no words) is classified by softmax regression over the word 1- to 3-grams that occur in
 any template; class 0 is ``unknown``, trained on corpus paragraphs and on shuffled licence words, and all
-probabilities are calibrated by temperature on a fold that training doesn't see. A family counts only if one of
-its templates is largely contained in the paragraph.
+probabilities are calibrated by temperature on a fold that training doesn't see. The likeliest family counts only
+if one of its templates is largely contained in the paragraph, with the words that no other family's templates have.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from . import _text as T
 UNKNOWN = "unknown"
 #: Usual public notices of each family.
 TEMPLATES = {
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -39,6 +43,18 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -47,6 +63,10 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Dedicated to the public domain under CC0 1.0 Universal.",
     ],
+    "EPL": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -64,12 +84,15 @@ TEMPLATES = {
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.",
     ],
     "reserved": [
         "All rights reserved.",
         "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.",
     ],
 }
+#: Words of the templates at most whose distinctive words must be there; longer ones tell by their 2-grams alone.
+BRIEF = 20
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 
 
@@ -103,7 +126,7 @@ class Model:
     vocabulary: np.ndarray
     weights: np.ndarray  # a row for each n-gram, the bias last
     temperature: float
-    templates: list  # (family index, sorted 2-gram hashes)
+    templates: list  # (family index, sorted 2-gram hashes, of a brief template the sorted hashes of words that no other family's templates have)
     _table: np.ndarray | None = None
 
     def hits(self, of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +147,15 @@ class Model:
         return _softmax(z / self.temperature)
 
     def contained(self, h: np.ndarray) -> np.ndarray:
-        """For each family, of its template that is most like the paragraph (Dice index of 2-grams): likeness and contained share."""
-        own, out = np.unique(T.ngram_hashes(h, 2)), np.zeros((len(FAMILIES), 2))
-        for f, t in self.templates:
-            both = np.isin(t, own, assume_unique=True).sum()
-            out[f] = max(tuple(out[f]), (2 * both / (len(t) + len(own)), both / len(t)))
+        """For each family, of its template that is most like the paragraph (Dice index of 2-grams): likeness and contained share.
+
+        A brief template counts only if the paragraph has half of its distinctive words at least.
+        """
+        own, words, out = np.unique(T.ngram_hashes(h, 2)), np.unique(h), np.zeros((len(FAMILIES), 2))
+        for f, t, name in self.templates:
+            if 2 * np.isin(name, words, assume_unique=True).sum() >= len(name):
+                both = np.isin(t, own, assume_unique=True).sum()
+                out[f] = max(tuple(out[f]), (2 * both / (len(t) + len(own)), both / len(t)))
         return out
 
     def runs(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray, h: np.ndarray) -> list[tuple[int, int]]:
@@ -139,7 +166,7 @@ class Model:
         """
         if len(doc) < 2:
             return []
-        known = np.unique(np.concatenate([t for _, t in self.templates]))
+        known = np.unique(np.concatenate([t for _, t, _ in self.templates]))
         hit = np.isin(T.ngram_hashes(h, 2), known) if len(h) > 1 else np.zeros(0, dtype=bool)
         near = (doc[1:] == doc[:-1]) & (start[1:] == end[:-1] + 1)
         a, b = of[:-1][hit], of[1:][hit]
@@ -154,10 +181,13 @@ class Model:
         return float(self.contained(h)[family, 0])
 
     def confirmed(self, p: np.ndarray, h: np.ndarray, share: float) -> int:
-        """The family most like the paragraph among those contained to ``share`` (of equals the likeliest); 0 without any."""
+        """The classifier's likeliest family, if one of its templates is contained to ``share``; else 0.
+
+        Another family's template that fits better by a tenth or more speaks against it.
+        """
         like, inside = self.contained(h).T
-        like = np.where(inside >= share, like, 0)
-        return int(np.argmax(np.where(like >= like.max() - 1e-9, p, -1))) if like.max() > 0 else 0
+        family, like = int(np.argmax(p)), np.where(inside >= share, like, 0)
+        return family if family and like[family] > 0 and like[family] >= like.max() - 0.1 else 0
 
 
 def _parts(runs: list[tuple[int, int]], alone: dict):
@@ -198,7 +228,10 @@ def fit(docs: DataFrame, sample: int = 1000, copies: int = 40, steps: int = 150,
 
     Sampled paragraphs in which a template is half contained are not used as unknown. An empty table is fine.
     """
-    templates = [(f, np.unique(T.ngram_hashes(h, 2))) for f, h in _template_words()]
+    every = _template_words()
+    used = {f: np.unique(np.concatenate([h for g, h in every if g == f])) for f, _ in every}
+    others = {f: np.concatenate([w for g, w in used.items() if g != f]) for f in used}
+    templates = [(f, np.unique(T.ngram_hashes(h, 2)), np.setdiff1d(h, others[f]) if len(h) <= BRIEF else h[:0]) for f, h in every]
     grams = np.unique(np.concatenate([_grams(h, np.zeros(len(h), dtype=int))[1] for _, h in _template_words()]))
     model = Model(grams, np.zeros((len(grams) + 1, len(FAMILIES))), 1.0, templates)
 
@@ -252,8 +285,7 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0
     reaches from the first line to the last and replaces those of its lines, if a template is more like the run than
     like any of them; otherwise the parts between its findings are tried.
     A finding is a paragraph whose likeliest family isn't unknown and has at least ``threshold`` probability, if
-    a template has ``share`` of its 2-grams there. Its family is the one whose templates fit best (of equals the likeliest);
-    its score is one less the probability of unknown. Offsets are code points, end exclusive. Null and empty texts have no paragraphs
+    a template of that family has ``share`` of its 2-grams there. Its score is that family's calibrated probability. Offsets are code points, end exclusive. Null and empty texts have no paragraphs
     and no findings; repeated rows each get the same; an empty table gives no rows; other columns are ignored.
     """
 
@@ -282,7 +314,7 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0
                         family = model.confirmed(p[k], h[words[i] : words[i + 1]], share)
                         if family:
                             base = before[off[doc[i]]]
-                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[i]] - base), "score": float(1 - p[k, 0])})
+                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[i]] - base), "score": float(p[k, family])})
                             alone[int(i)] = rows[doc[i]][-1], model.likeness(h[words[i] : words[i + 1]], family)
                     tries = [(i, j, True) for i, j in wrapped]
                     while tries:
@@ -295,7 +327,7 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0
                         if family and all(model.likeness(own, family) > like for _, like in inside):
                             rows[doc[i]] = [x for x in rows[doc[i]] if not any(x is y for y, _ in inside)]
                             base = before[off[doc[i]]]
-                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[j]] - base), "score": float(1 - q[0])})
+                            rows[doc[i]].append({"family": FAMILIES[family], "start": int(before[start[i]] - base), "end": int(before[end[j]] - base), "score": float(q[family])})
                         elif whole and inside:
                             tries += [(first, last, False) for first, last in _parts([(i, j)], alone)]
                     for listed in rows:

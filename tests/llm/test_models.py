@@ -142,6 +142,47 @@ def test_wrapped_notices_of_every_family(spark):
     assert licenses.scan(plain, licenses.fit(docs.limit(0))).first().findings == []
 
 
+def test_notices_that_are_no_templates(spark):
+    """Reworded notices name their own family or none, never another."""
+    cases = [
+        ("MPL", "This file is licensed under the Mozilla Public License, version 2.0"), ("EPL", "// Licensed under the Eclipse Public License, version 2.0"),
+        ("Apache", "This project is licensed under the Apache License, Version 2.0, see below"), ("MIT", "This code is released under the MIT License, enjoy"),
+        ("CC-BY-NC-SA", "Text licensed under CC BY-NC-SA 4.0 by the authors"), ("CC-BY-NC", "Text licensed under CC BY-NC 4.0 by the authors"), ("CC-BY", "Text licensed under CC BY 4.0 by the authors"),
+        (None, "Licensed under the Artistic License, version 2.0."), (None, "Licensed under the Boost Software License, Version 1.0."), (None, "Released under the Zlib License."),
+        (None, "Licensed under the European Union Public License, version 1.2."), ("LGPL", "Licensed under the GNU Lesser General Public License, version 2.1"), ("AGPL", "Licensed under the GNU Affero General Public License, version 3 only"),
+    ]
+    docs = spark.createDataFrame([(i, f"Some words here.\n{t}\nand more") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: [f.family for f in r.findings] for r in licenses.scan(docs, licenses.fit(docs.limit(0))).collect()}
+    assert all(set(got[i]) <= {family} for i, (family, _) in enumerate(cases)), got
+    assert sum(got[i] == [family] for i, (family, _) in enumerate(cases) if family) >= 9, got
+
+
+def test_findings_equal_brute_force(spark):
+    """Against the rules written out: the model's probabilities for the words of each line, and templates by Python sets."""
+    lines = [t for texts in licenses.TEMPLATES.values() for t in texts] + ["We go to the license office.", "Licensed under the Artistic License, version 2.0.", "x"]
+    docs = spark.createDataFrame([(i, f"Plain.\n\n{t}\n\nEnd.") for i, t in enumerate(lines)], "doc_id long, text string")
+    model = licenses.fit(docs.limit(0))
+    words = lambda t: "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in t).split()
+    grams = lambda w: {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))}
+    used = {f: {w for t in ts for w in words(t)} for f, ts in licenses.TEMPLATES.items()}
+    got = {r.doc_id: [f.family for f in r.findings] for r in licenses.scan(docs, model).collect()}
+    for i, line in enumerate(lines):
+        own = words(line)
+        _, _, _, of, h, _, _ = licenses.paragraphs([line.encode()])
+        p = model.probabilities(*model.hits(of, h), 1)[0]
+        like = {}
+        for f, ts in licenses.TEMPLATES.items():
+            for t in ts:
+                g, name = grams(words(t)), set(words(t)) - set().union(*(u for e, u in used.items() if e != f))
+                both = len(g & grams(own))
+                if len(words(t)) > licenses.BRIEF or 2 * len(name & set(own)) >= len(name):
+                    like[f] = max(like.get(f, (0, 0)), (2 * both / (len(g) + len(grams(own))), both / len(g)))
+        like = {f: a for f, (a, inside) in like.items() if inside >= 0.6}
+        best = licenses.FAMILIES[int(p.argmax())]
+        want = [best] if p.max() >= 0.5 and best in like and like[best] >= max(like.values()) - 0.1 else []
+        assert got[i] == want, (line, got[i], want)
+
+
 def test_licence_edges(spark, nasty):
     none = nasty.limit(0)
     assert licenses.scan(none, licenses.fit(none)).count() == 0
