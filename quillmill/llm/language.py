@@ -18,7 +18,7 @@ from . import _text as T
 from ._sample import remainder
 
 UNKNOWN = "und"
-#: More labels than this is an error: a label is then no language.
+#: Profiles that are learned at most, of the labels that most documents have.
 MAX_LANGUAGES = 1000
 _FOLD = T.LOWER.copy()
 _FOLD[:128][~T.byte_set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", False)[:128]] = 32
@@ -102,9 +102,9 @@ def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int =
     """
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    # Profiles are kept on the driver; of more values than MAX_LANGUAGES those of most documents are learned.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = rows.where(F.col("lang").isin(*counts)) if len(counts) == MAX_LANGUAGES else rows
     if not counts:
         return Profiles([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.int64), size)
     share = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fingerprint, language, licenses, lines, mixing, neardup, quality, secretscan, sql, toxicity
 from ._sample import remainder
-from ._store import work_path
+from ._store import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,9 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, rows = secretscan.scan(_read(spark, sf_dir, "documents"), work_path(spark, "secrets-ledger"))
+    # One ledger for each input folder: blobs and rules that an earlier run has scanned are not scanned again.
+    ledger = f"{shared_dir(spark)}/quillmill/secrets-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    paths, rows = secretscan.scan(_read(spark, sf_dir, "documents"), ledger)
     found = secretscan.join_paths(paths, rows)
     listed = lambda of: F.concat_ws(",", F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
     base = F.filter("found", lambda x: x["kind"].isin(*secretscan.BASE))

@@ -35,10 +35,12 @@ RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i)(?:passw|secret|token|api_?key)"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
-    Rule("private", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, r"-----BEGIN "),
+    Rule("private", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN "),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
 BASE = ("assign", "access", "hex")
+#: Matches of a text that are summed in one run.
+RUN = 256
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -51,15 +53,24 @@ def spans(text: Column, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     steps = F.zip_with(F.slice(pieces, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), part.alias("p")), lambda a, m: F.struct(F.length(a).alias("skip"), F.length(m["w"]).alias("len"), (F.length(m["p"]) >= rule.least).alias("good")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    # Running sums append to an array, which costs its length each time: runs of RUN matches are summed apart.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: F.slice(steps, i * RUN + 1, RUN))
+    runs = F.when(F.size(steps) > 0, runs).otherwise(F.array())
+    width = lambda run: F.aggregate(run, F.lit(0), lambda n, s: n + s["skip"] + s["len"])
+    offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + width(run))))
 
-    def add(acc, s):
-        start = acc["at"] + s["skip"]
-        end = start + s["len"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["good"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(run: Column, offset: Column) -> Column:
+        zero = F.struct(offset.alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    found = F.aggregate(steps, zero, add, lambda acc: acc["out"])
+        def add(acc, s):
+            start = acc["at"] + s["skip"]
+            end = start + s["len"]
+            one = F.array(F.struct(start.alias("start"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(s["good"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, zero, add, lambda acc: acc["out"])
+
+    found = F.flatten(F.zip_with(runs, F.slice(offsets, 1, F.size(runs)), placed))
     return F.when(text.rlike(rule.sign), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -71,6 +82,8 @@ def _exists(spark, path: str) -> bool:
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Brings the ledger at a shared path up to date; returns (paths, ledger rows).
 
+    Two runs that overlap in time may both add a pair; their rows are equal, and the returned ledger has each once.
+
     paths: doc_id, blob of every row (null texts count as empty). Ledger rows: blob, kind, version, spans, one
     for each pair scanned so far. Only pairs that the ledger lacks are scanned, in texts of one path of each
     blob; a rule of a new version is a new pair, and older ones stay. An empty table adds nothing; repeated
@@ -92,7 +105,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> tuple
     found = texts.select("blob", F.explode(per_rule).alias("_f")).select("blob", "_f.*").where("spans is not null")
     # Rows repeated with the same id give the same pair twice.
     found.dropDuplicates(["blob", "kind", "version"]).write.mode("append").parquet(ledger)
-    return paths, spark.read.schema(schema).parquet(ledger)
+    return paths, spark.read.schema(schema).parquet(ledger).dropDuplicates(["blob", "kind", "version"])
 
 
 def join_paths(paths: DataFrame, rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from quillmill.llm import decontam, fingerprint, secretscan
-from quillmill.llm._store import work_path
+from quillmill.llm._store import shared_dir, work_path
 from quillmill.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,7 +55,12 @@ def test_sketches_merge_and_estimate_containment():
     assert fingerprint.containment(sa, sw) == 1.0 and abs(fingerprint.containment(sw, sa) - 40 / 440) < 0.02
     half = fingerprint.sketch(a[:20_000])
     rest = fingerprint.sketch(a[20_000 - fingerprint.SHINGLE + 1 :])
-    assert (fingerprint.merge(half, rest) == sa).all()
+    merged, of = fingerprint.merge((half, fingerprint.SCALE), (rest, fingerprint.SCALE))
+    assert (merged == sa).all() and of == fingerprint.SCALE
+    short = fingerprint.sketch(a[:200])
+    assert len(short) == len({a[i : i + 16] for i in range(185)}) and fingerprint.containment(short, sa, fingerprint.SCALE) in (0.0, 1.0)
+    merged, of = fingerprint.merge((short, fingerprint.scale(200)), (sa, fingerprint.SCALE))
+    assert (merged == sa).all() and of == fingerprint.SCALE and fingerprint.merge()[1] == 1
     assert abs(len(sa) - len(a) / fingerprint.SCALE) < 5 * (len(a) / fingerprint.SCALE) ** 0.5
     assert len(fingerprint.sketch(b"")) == 0 and fingerprint.likeness(sa[:0], sa[:0], False) == 0
 
@@ -179,3 +185,35 @@ def test_secret_edges(spark, nasty):
     paths, rows = secretscan.scan(nasty, work_path(spark, "ledger"))
     got = secretscan.join_paths(paths, rows).collect()
     assert len(got) == nasty.count() and all(r.found == [] for r in got)
+
+
+def test_very_many_matches_and_a_second_run_that_scans_nothing(spark, sf):
+    text = " ".join(f"{i:032x}" + ("ü password=abcdefgh" if i % 7 == 0 else "") for i in range(1, 1500))
+    docs = spark.createDataFrame([(1, text), (2, "-----BEGIN " + "A" * 60 + " PRIVATE KEY-----")], "doc_id long, text string")
+    ledger = work_path(spark, "ledger")
+    paths, rows = secretscan.scan(docs, ledger)
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in secretscan.join_paths(paths, rows).collect()}
+    assert [x for x in got[1] if x[0] in secretscan.BASE] == [(kind, start, end) for start, _, kind, end in brute_secrets(text)] and len(got[1]) > 1500
+    assert [x[0] for x in got[2]] == ["private"]
+    query = QUERIES["op6_blob_ledger"]
+    query(spark, sf).count()
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "quillmill"
+    size = lambda: {str(p): spark.read.parquet(f"file://{p}").count() for p in folder.glob("secrets-ledger-*")}
+    before = size()
+    assert before and query(spark, sf).count() > 0 and size() == before
+
+
+def test_likeness_is_near_the_exact_jaccard_index(spark, sf, documents):
+    rows = sorted(((r.doc_id, r.text or "") for r in documents.collect()), reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op3_scaled_sketches"](spark, sf).collect()}
+    grams = lambda t: {b[i : i + 16] for b in [t.encode()] for i in range(max(1, len(b) - 15))} if t else set()
+    exact = 0
+    for (i, own), (_, other) in zip(rows, rows[1:] + rows[:1], strict=True):
+        m = len(own) // 3
+        for text, near in ((own[: len(own) - m] + other[:m], got[i].near_edited), (other, got[i].near_next)):
+            a, b = grams(own), grams(text)
+            want = 1.0 if own == text else len(a & b) / max(1, len(a | b))
+            of = max(fingerprint.scale(len(own.encode())), fingerprint.scale(len(text.encode())))
+            assert abs(near - want) < (1e-9 if of == 1 else 0.02 + 6 * (of / max(1, len(a | b))) ** 0.5), (i, near, want)
+            exact += of == 1
+    assert exact > 3
