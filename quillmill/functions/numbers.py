@@ -46,6 +46,18 @@ def entropy_bits(p: Column) -> Column:
     return -F.sum(F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)))
 
 
+def padded(c: Column, width: int = 6) -> Column:
+    """An id as text, with zeros before it up to the width; longer ones are whole."""
+    text = c.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def parts_per_million(num: Column, den: int) -> Column:
+    """num / den of whole numbers from 0 on, rounded half up to six places without an error of floating point."""
+    n = num.cast("long") * 2_000_000 + den
+    return (n - n % (2 * den)).cast("double") / (2 * den) / 1_000_000
+
+
 def inside_page(x: Column, y: Column, w: Column, h: Column, width, height) -> Column:
     return (w > 0) & (h > 0) & (x >= 0) & (y >= 0) & (x < width) & (y < height) & (x + w <= width) & (y + h <= height)
 

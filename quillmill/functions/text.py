@@ -20,12 +20,16 @@ TOFU = "�□▯"
 CODE_WORDS = "cfg|bbox|mask|render|train|valid|loss|acc|model"
 CODE_OPERATORS = r"==|!=|<=|>=|->|::|=>|&&|\|\||\+=|-=|\*=|/="
 _CHAIN = r"(?:[_:.]{1,2}[A-Za-z0-9]+)+"
-CODE_TOKEN = rf"\b(?:{CODE_WORDS}|seed|dpi){_CHAIN}(?:{CODE_OPERATORS})?|\b[A-Za-z]+{_CHAIN}(?:{CODE_OPERATORS})|\b(?:{CODE_WORDS})(?:{CODE_OPERATORS})"
+#: A word may begin here; spelled out, as engines differ in what their word boundaries take for a letter.
+_BEGIN = r"(?<![\p{L}\p{N}_])"
+CODE_TOKEN = rf"{_BEGIN}(?:(?:{CODE_WORDS}|seed|dpi){_CHAIN}(?:{CODE_OPERATORS})?|[A-Za-z]+{_CHAIN}(?:{CODE_OPERATORS})|(?:{CODE_WORDS})(?:{CODE_OPERATORS}))"
 #: Shapes, operators and words that don't belong in a line of running text.
 SHAPES = "□▯▢■▪▫◻◼�●○◆◇◾◽◦"
 MATH_SIGNS = "∑∏∂∇∞≈≠≤≥±÷×∪∩↔←→"
 NOISE_WORDS = "DATA|MODEL|TEMPOR|DOLOR|INCIDIDUNT|ACCURACY|VALID|TRAIN|LOSS"
 NOISE_SIGNS = "{}[]<>|%$#@&*~^"
+#: Lines of these characters only can be unfit for one of the words alone.
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ſ.,;'\"()?! -]*$"
 #: Beginnings of LaTeX expressions that lack their backslash.
 LATEX_BEGINNINGS = ("sum_", "sum{", "int_", "int{", "sqrt", "frac", "alpha", "beta", "gamma", "theta", "lambda", "mu", "sigma")
 #: LaTeX commands that reach files, the shell or other packages; so do document boundaries.
@@ -43,30 +47,52 @@ def script_family(char: Column) -> Column:
     return reduce(lambda acc, r: acc.when(cp.between(r[1], r[2]), r[0]), SCRIPT_RANGES[1:], F.when(cp.between(*SCRIPT_RANGES[0][1:]), SCRIPT_RANGES[0][0]))
 
 
+def script_counts(c: Column) -> Column:
+    """An array of family, n (characters) and first (place of its first, from 0) of the script families that a text has.
+
+    Texts without a character from U+0250 on, nearly all of most corpora, are tested for one family only.
+    """
+    text = F.coalesce(c, F.lit(""))
+    names = list(dict.fromkeys(f for f, _, _ in SCRIPT_RANGES))
+    high = text.rlike("[^\\x{0}-\\x{24F}]")
+
+    def counted(name: str) -> Column:
+        chars = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for f, a, b in SCRIPT_RANGES if f == name)
+        n = F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+        found = F.struct(F.lit(name).alias("family"), n.cast("long").alias("n"), (F.regexp_instr(text, F.lit(f"[{chars}]")) - 1).alias("first"))
+        return found if name == "latin" else F.when(high, found)
+
+    return F.filter(F.array(*map(counted, names)), lambda x: x["n"] > 0)
+
+
 def has_tofu(c: Column) -> Column:
     return F.coalesce(c.rlike(f"[{TOFU}]"), F.lit(False))
 
 
 def code_tokens(c: Column) -> Column:
-    """Number of debug-like tokens."""
-    return F.coalesce(F.regexp_count(c, F.lit(CODE_TOKEN)), F.lit(0))
+    """Number of debug-like tokens. A full stop alone, the one sign that running text has, counts only inside a word."""
+    maybe = c.rlike(r"[_:=<>&|!]|\.[A-Za-z0-9.]")
+    return F.when(maybe, F.regexp_count(c, F.lit(CODE_TOKEN))).otherwise(F.lit(0))
 
 
 def is_noisy(c: Column) -> Column:
     """Whether a line is unfit for recognition: blank, shapes, symbols, code, digits inside words, or over 3 % signs."""
     text = F.coalesce(c, F.lit(""))
-    visible = F.length(F.regexp_replace(text, r"\s", ""))
-    signs = F.length(F.regexp_replace(text, "[^" + MATH_SIGNS + r"{}\[\]<>|%$#@&*~^" + "]", ""))
-    return (
-        (strip(text) == "")
-        | text.rlike(f"[{SHAPES}]")
+    length = F.length(text)
+    visible = F.length(F.translate(text, " \t\n\r\x0b\f", ""))
+    signs = length - F.length(F.translate(text, MATH_SIGNS + NOISE_SIGNS, ""))
+    upper = F.upper(text)
+    words = reduce(lambda a, b: a | b, (F.contains(upper, F.lit(w)) for w in NOISE_WORDS.split("|")))
+    unusual = (
+        text.rlike(f"[{SHAPES}]")
         | text.rlike(r"[\p{So}\p{Co}\p{Cc}\p{Cs}]")
-        | text.rlike(r"__|::|==|!=|\+=|-=|[<>{}\[\]|]|(?i:" + NOISE_WORDS + ")")
+        | text.rlike(r"__|::|==|!=|\+=|-=|[<>{}\[\]|]")
         | text.rlike(r"[A-Za-zÀ-ſ]{2,}\d+[A-Za-zÀ-ſ0-9]+")
         | text.rlike(f"[{MATH_SIGNS}]{{2,}}")
         | text.rlike(r"(?<![\p{L}\p{N}_])[A-Za-zÀ-ſА-Яа-я]+[0-9]+[A-Za-zÀ-ſА-Яа-я0-9]*(?![\p{L}\p{N}_])")
         | F.coalesce(F.try_divide(signs, visible) > 0.03, F.lit(False))
     )
+    return ~text.rlike(r"\S") | words | (~text.rlike(_PLAIN) & unusual)
 
 
 def latex_normalise(c: Column) -> Column:

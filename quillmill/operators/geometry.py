@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import overlap, ratio
+from ..functions.numbers import overlap, parts_per_million, ratio
 
 
 def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
@@ -42,11 +42,11 @@ def nearest(captions: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("page", F.col("c_pos").alias("caption"), F.col("_m.t_pos").alias("target"), F.col("_m._d").alias("distance"), F.round(allowed, 6).alias("allowed"), (F.col("_m._d") <= allowed).alias("ok"))
 
 
-def extent_ratio(boxes: DataFrame, page_area: float) -> DataFrame:
-    """page, extent: the outer box of all valid boxes over the page's area."""
+def extent_ratio(boxes: DataFrame, page_area: int) -> DataFrame:
+    """page, extent: the outer box of all valid boxes over the page's area, to six places."""
     valid = boxes.where("w > 0 and h > 0").groupBy("page")
     rows = valid.agg(F.min("x").alias("_a"), F.max(F.col("x") + F.col("w")).alias("_b"), F.min("y").alias("_c"), F.max(F.col("y") + F.col("h")).alias("_d"))
-    return rows.select("page", F.round((F.col("_b") - F.col("_a")) * (F.col("_d") - F.col("_c")) / F.lit(page_area), 6).alias("extent"))
+    return rows.select("page", parts_per_million((F.col("_b") - F.col("_a")) * (F.col("_d") - F.col("_c")), page_area).alias("extent"))
 
 
 def rebuilt(boxes: DataFrame, group: list[str]) -> DataFrame:

@@ -23,9 +23,9 @@ def bbox_first_failure(spark, sf_dir):
     return bad.groupBy("page").agg(F.min("pos").alias("first_failure"))
 
 
-@query(f"WITH {T.BOXES} SELECT page, round((max(x + w) - min(x)) * (max(y + h) - min(y)) / {W * H}.0, 6) AS extent FROM boxes WHERE w > 0 AND h > 0 GROUP BY page")
+@query(f"WITH {T.BOXES} SELECT page, CAST(((max(x + w) - min(x)) * (max(y + h) - min(y)) * 2000000 + {W * H}) // {2 * W * H} AS DOUBLE) / 1000000 AS extent FROM boxes WHERE w > 0 AND h > 0 GROUP BY page")
 def bbox_extent_ratio(spark, sf_dir):
-    return G.extent_ratio(T.boxes(spark, sf_dir), float(W * H))
+    return G.extent_ratio(T.boxes(spark, sf_dir), W * H)
 
 
 @query(f"WITH {T.BOXES} SELECT page, bool_or(w < 4 OR h < 4) AS too_small FROM boxes GROUP BY page")

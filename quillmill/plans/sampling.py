@@ -17,7 +17,7 @@ splits AS (
 
 
 def _splits(spark, sf_dir):
-    return S.dealt_splits(T.read(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("page_id")), "page_id")
+    return S.dealt_splits(T.read(spark, sf_dir, "documents").select(N.padded(F.col("doc_id")).alias("page_id")), "page_id")
 
 
 @query(f"WITH {_SPLIT} SELECT page_id, split FROM splits")

@@ -14,43 +14,41 @@ fam AS (SELECT doc_id, i, {_CP} AS family FROM (SELECT doc_id, i, unicode(ch) AS
 
 
 def _families(spark, sf_dir):
-    """doc_id, family, n, first: characters of each script family, by partial aggregation of exploded characters."""
-    docs = T.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "ch"))
-    rows = docs.select("doc_id", "i", X.script_family(F.col("ch")).alias("family")).where("family is not null")
-    return rows.groupBy("doc_id", "family").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    """doc_id, f (family, n, first) of each script family that a document has, without a shuffle or a row for each character."""
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.script_counts(F.col("text")).alias("f"))
 
 
 @query(f"WITH {_CHARS} SELECT doc_id, family, count(*) AS n FROM fam WHERE family IS NOT NULL GROUP BY 1, 2")
 def script_histogram(spark, sf_dir):
-    return _families(spark, sf_dir).select("doc_id", "family", "n")
+    rows = _families(spark, sf_dir).select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.family", "f.n")
+    return rows.groupBy("doc_id", "family").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {_CHARS}, g AS (SELECT doc_id, family, count(*) AS n, min(i) AS f FROM fam WHERE family IS NOT NULL GROUP BY 1, 2) SELECT d.doc_id, coalesce(arg_max(family, n * 1000000 - f), 'latin') AS family FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY 1")
 def dominant_script(spark, sf_dir):
     """The family with most characters, the first seen at a tie, latin without any."""
-    best = _families(spark, sf_dir).groupBy("doc_id").agg(F.max_by("family", F.struct("n", -F.col("first"))).alias("family"))
-    docs = T.read(spark, sf_dir, "documents").select("doc_id").distinct()
-    return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce("family", F.lit("latin")).alias("family"))
+    best = F.array_max(F.transform("f", lambda x: F.struct(x["n"].alias("n"), (-x["first"]).alias("first"), x["family"].alias("family"))))["family"]
+    return _families(spark, sf_dir).select("doc_id", F.coalesce(best, F.lit("latin")).alias("family"))
 
 
-_MIX = [(1, "ab бв"), (2, "hello world"), (3, "漢字かな"), (4, "aaaaaaaaaaaaaaaaaaaaб"), (5, "123 !?"), (6, "αβγ abc")]
+_MIX = [(-1, "ab бв"), (-2, "hello world"), (-3, "漢字かな"), (-4, "aaaaaaaaaaaaaaaaaaaaб"), (-5, "123 !?"), (-6, "αβγ abc")]
 _MIX_SQL = ", ".join(f"({i}, '{t}')" for i, t in _MIX)
 
 
 @query(
-    f"""WITH t AS (SELECT * FROM (VALUES {_MIX_SQL}) AS v(id, text)), c AS (SELECT id, unicode(unnest(string_split(text, ''))) AS cp FROM t),
+    f"""WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {_MIX_SQL}) AS v(id, text)), c AS (SELECT id, unicode(unnest(string_split(text, ''))) AS cp FROM t),
     f AS (SELECT id, {_CP} AS family, count(*) AS n FROM c WHERE ({_CP}) IS NOT NULL GROUP BY 1, 2),
     s AS (SELECT id, count(*) FILTER (n / t >= 0.08) AS strong FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS t FROM f) GROUP BY id)
     SELECT t.id, coalesce(strong, 0) >= 2 AS unsafe FROM t LEFT JOIN s USING (id)"""
 )
 def unsafe_script_mix(spark, sf_dir):
-    """Whether two families or more have 8 % of the characters each; literal rows, as the tables hold one script."""
-    rows = spark.createDataFrame(_MIX, "id int, text string")
-    families = F.filter(F.transform(F.split("text", ""), X.script_family), lambda f: f.isNotNull())
-    rows = rows.withColumn("f", families)
-    share = lambda name: F.size(F.filter("f", lambda x: x == name)) >= 0.08 * F.size("f")
-    strong = F.size(F.filter(F.array_distinct("f"), share))
-    return rows.select("id", (strong >= 2).alias("unsafe"))
+    """Whether two families or more have 8 % of the characters each: all documents, and literal rows of several scripts."""
+    extra = spark.createDataFrame(_MIX, "id long, text string")
+    rows = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(extra)
+    rows = rows.select("id", X.script_counts(F.col("text")).alias("f"))
+    total = F.aggregate("f", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    rows = rows.select("id", "f", total.alias("total"))
+    return rows.select("id", (F.size(F.filter("f", lambda x: x["n"] >= 0.08 * F.col("total"))) >= 2).alias("unsafe"))
 
 
 _INJECTED = [(-1, "broken □ glyph"), (-2, "fine"), (-3, "lost � char"), (-4, "cfg.size and bbox::seed"), (-5, "render__seed962 acc.mean!="), (-6, "loss== data__prob=="), (-7, "data alone"), (-8, "100 % sure & well"), (-9, "x≤≥y"), (-10, "abc12de"), (-11, "   ")]
@@ -69,13 +67,13 @@ def tofu_lines(spark, sf_dir):
 
 
 _OPS = X.CODE_OPERATORS
-_TOKEN_SQL = rf"(?:^|[^A-Za-z0-9_])(?:(?:{X.CODE_WORDS}|seed|dpi)(?:[_:.]{{1,2}}[A-Za-z0-9]+)+(?:{_OPS})?|[A-Za-z]+(?:[_:.]{{1,2}}[A-Za-z0-9]+)+(?:{_OPS})|(?:{X.CODE_WORDS})(?:{_OPS}))"
+_TOKEN_SQL = rf"(?:^|[^\p{{L}}\p{{N}}_])(?:(?:{X.CODE_WORDS}|seed|dpi)(?:[_:.]{{1,2}}[A-Za-z0-9]+)+(?:{_OPS})?|[A-Za-z]+(?:[_:.]{{1,2}}[A-Za-z0-9]+)+(?:{_OPS})|(?:{X.CODE_WORDS})(?:{_OPS}))"
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line, CAST(len(regexp_extract_all(text, '{_TOKEN_SQL}')) AS INTEGER) AS tokens FROM lines WHERE len(regexp_extract_all(text, '{_TOKEN_SQL}')) > 0 AND doc_id < 0")
+@query(f"WITH {_LINES} SELECT doc_id, line, CAST(len(regexp_extract_all(text, '{_TOKEN_SQL}')) AS INTEGER) AS tokens FROM lines WHERE len(regexp_extract_all(text, '{_TOKEN_SQL}')) > 0")
 def code_token_leak(spark, sf_dir):
-    """Lines with debug-like tokens, among the literal rows: the oracle's dialect has no Unicode word boundary."""
-    rows = _lines(spark, sf_dir).where("doc_id < 0").withColumn("tokens", X.code_tokens(F.col("text")))
+    """Lines with debug-like tokens, of all documents and the literal rows."""
+    rows = _lines(spark, sf_dir).withColumn("tokens", X.code_tokens(F.col("text")))
     return rows.where("tokens > 0").select("doc_id", "line", "tokens")
 
 
@@ -119,11 +117,11 @@ def gt_projection(spark, sf_dir):
     return T.doc_lines(spark, sf_dir).select("doc_id", "line", F.when(some, F.col("text")).alias("text"), F.when(some, F.col("lang")).alias("script"), F.length("text").cast("long").alias("n"))
 
 
-@query(f"WITH {T.DOC_LINES}, gt AS (SELECT doc_id, line, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS gt FROM doc_lines WHERE doc_id % 11 <> 0) SELECT count(*) AS lines, count(gt) AS found, count(*) FILTER (contains(gt, text)) AS matched, round(count(*) FILTER (contains(gt, text)) / count(gt), 6) AS ratio FROM doc_lines LEFT JOIN gt USING (doc_id, line)")
+@query(f"WITH {T.DOC_LINES}, gt AS (SELECT doc_id, line, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS gt FROM doc_lines) SELECT count(*) AS lines, count(gt) AS found, count(*) FILTER (contains(gt, text)) AS matched, round(count(*) FILTER (contains(gt, text)) / count(gt), 6) AS ratio FROM doc_lines LEFT JOIN gt USING (doc_id, line)")
 def ann_gt_alignment(spark, sf_dir):
     """Annotation lines against ground truth derived from them: ids found, and texts that it contains."""
     ann = T.doc_lines(spark, sf_dir).select("doc_id", "line", "text")
-    gt = ann.where("doc_id % 11 <> 0").select("doc_id", "line", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("gt"))
+    gt = ann.select("doc_id", "line", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("gt"))
     hit = F.count_if(F.contains("gt", "text"))
     return ann.join(gt, ["doc_id", "line"], "left").agg(F.count("*").alias("lines"), F.count("gt").alias("found"), hit.alias("matched"), F.round(hit / F.count("gt"), 6).alias("ratio"))
 

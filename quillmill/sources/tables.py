@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import numbers as N
+
 #: Pixels of the page that boxes lie on.
 PAGE_W, PAGE_H = 600, 800
 KINDS = ("title", "paragraph", "list", "table", "figure", "caption")
@@ -81,7 +83,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES = """doc_pages AS (
-  SELECT lpad(CAST(d.doc_id AS VARCHAR), 6, '0') AS page_id, d.doc_id, d.lang, d.source, d.n_chars, len(string_split(d.text, chr(10))) AS line_count, l.quality, l.toxic
+  SELECT lpad(CAST(d.doc_id AS VARCHAR), CAST(greatest(6, length(CAST(d.doc_id AS VARCHAR))) AS INTEGER), '0') AS page_id, d.doc_id, d.lang, d.source, d.n_chars, len(string_split(d.text, chr(10))) AS line_count, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -89,4 +91,4 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id (six digits), doc_id, lang, source, n_chars, line_count, quality, toxic."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.size(F.split("text", "\n", -1)).cast("long").alias("line_count"))
     rows = docs.join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("page_id"), "doc_id", "lang", "source", "n_chars", "line_count", "quality", "toxic")
+    return rows.select(N.padded(F.col("doc_id")).alias("page_id"), "doc_id", "lang", "source", "n_chars", "line_count", "quality", "toxic")

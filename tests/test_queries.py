@@ -12,11 +12,15 @@ import __spark_entry__
 from quillmill import catalogue
 
 
+#: The scale at which results are compared with SQL outside the tests, too.
+COMPARED = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
-def duck(sf):
+def duck():
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
-    for f in glob.glob(f"{sf}/*.parquet"):
+    for f in glob.glob(f"{COMPARED}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return con
 
@@ -25,13 +29,13 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5)
+        return None if math.isnan(v) else round(v, 9)
     return v
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
-def test_equals_sql(spark, sf, duck, name):
-    df = catalogue.QUERIES[name](spark, sf)
+def test_equals_sql(spark, duck, name):
+    df = catalogue.QUERIES[name](spark, COMPARED)
     columns = sorted(df.columns)
     wanted = duck.sql(catalogue.SQL[name])
     assert columns == sorted(wanted.columns)
