@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import exports, flagship, layout, quality, reports, sampling, texts  # noqa: F401  each registers its queries
+from .plans import exports, flagship, layout, pages, quality, reports, sampling, texts  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

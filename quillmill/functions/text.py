@@ -59,10 +59,10 @@ def script_counts(c: Column) -> Column:
     def counted(name: str) -> Column:
         chars = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for f, a, b in SCRIPT_RANGES if f == name)
         n = F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
-        found = F.struct(F.lit(name).alias("family"), n.cast("long").alias("n"), (F.regexp_instr(text, F.lit(f"[{chars}]")) - 1).alias("first"))
-        return found if name == "latin" else F.when(high, found)
+        return F.struct(F.lit(name).alias("family"), n.cast("long").alias("n"), (F.regexp_instr(text, F.lit(f"[{chars}]")) - 1).alias("first"))
 
-    return F.filter(F.array(*map(counted, names)), lambda x: x["n"] > 0)
+    every = F.when(high, F.array(*map(counted, names))).otherwise(F.array(counted(names[0])))
+    return F.filter(every, lambda x: x["n"] > 0)
 
 
 def has_tofu(c: Column) -> Column:
