@@ -190,6 +190,18 @@ def test_sketch_equals_brute_force(spark, documents):
         assert r.sketch is None or list(r.sketch) == brute_sketch(r.line), r.line
 
 
+def test_blocks_are_all_pairs_of_a_sketch_in_parts_without_texts(spark, documents, capsys):
+    rows = lines._lines(documents.where("doc_id < 60")).dropDuplicates(["h1"]).select("h1", "t")
+    classes = corpus_pipeline.save(lines._sketched(rows, 8).where("sketch is not null").withColumn("_b", F.lit(1)), "test-blocks")
+    sketches = {r.h1: list(r.sketch) for r in classes.collect()}
+    parts = [lines._blocks(classes, part) for part in range(lines.PARTS)]
+    got = sorted((r.h1, r.p, r.q) for part in parts for r in part.collect())
+    assert got == sorted((h, u % lines.PLACES, v % lines.PLACES) for h, s in sketches.items() for u, v in itertools.combinations(s, 2))
+    # One share's plan names two grams at a time, not the array of all 28 pairs.
+    parts[0].explain()
+    assert capsys.readouterr().out.count("xxhash64") < 4
+
+
 def test_recall_of_near_lines_by_length(spark, documents):
     """A copy is at most its number of replaced letters away; blocks are pairs of sketch values."""
     found = {}
