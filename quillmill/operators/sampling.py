@@ -19,6 +19,23 @@ def cumulative(pool: DataFrame, weight: Column, order: list[str], group: list[st
     return pool.withColumns({"_hi": F.sum("_w").over(running), "_all": F.sum("_w").over(every)}).withColumn("_lo", F.col("_hi") - F.col("_w"))
 
 
+def first_above(draws: DataFrame, pool: DataFrame, item: str, group: str, per_bucket: int = 16) -> DataFrame:
+    """draws (with ``u`` and the group) with the first item, by id, of their group whose running weight is above u times the group's.
+
+    ``pool`` is a result of ``cumulative`` in the order of the items. A group's weight is cut into even buckets, a
+    few items each; an item stands in all that its stretch touches, so a draw meets the items of one bucket only.
+    """
+    before = F.lag("_hi", 1, 0.0).over(Window.partitionBy(group).orderBy(item, "_hi"))
+    sizes = pool.groupBy(group).agg(F.max("_all").alias("_sum"), F.ceil(F.count("*") / per_bucket).alias("_of"))
+    bucket = lambda at: F.floor(at / F.col("_sum") * F.col("_of"))
+    items = pool.select(group, item, "_hi", before.alias("_from")).where("_hi > _from").join(sizes, group)
+    items = items.select(group, item, "_hi", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_hi")))).alias("_at"))
+    draws = draws.join(sizes, group).withColumn("_x", F.col("u") * F.col("_sum")).withColumn("_at", bucket(F.col("_x"))).drop("_sum", "_of")
+    found = draws.join(items, [group, "_at"]).where("_x < _hi")
+    keys = [c for c in draws.columns if c not in ("_x", "_at")]
+    return found.groupBy(*keys).agg(F.min(item).alias(item))
+
+
 def draw_without_replacement(pool: DataFrame, weight: Column, u: Column, k: int, group: list[str], order: list[str]) -> DataFrame:
     """k items of each group by exponential keys -ln(u) / weight, least first; items of weight 0 are never drawn."""
     key = F.when(weight > 0, -F.log(F.greatest(u, F.lit(1e-300))) / weight)

@@ -95,12 +95,11 @@ _STRETCH = f"""{T.BANK}, run AS (SELECT item, script, sum(weight) OVER (PARTITIO
 def weighted_pick(spark, sf_dir):
     """Each customer draws one item of its script by weight: the first whose running weight is above the draw."""
     pool = S.cumulative(T.bank(spark, sf_dir), F.col("weight"), ["item"], ["script"])
-    kinds = pool.select("script").distinct().withColumns({"k": F.row_number().over(Window.orderBy("script")) - 1})  # few distinct scripts
-    kinds = kinds.crossJoin(kinds.agg(F.count("*").alias("n")))
+    kinds = T.bank(spark, sf_dir).select("script").distinct().withColumns({"k": F.row_number().over(Window.orderBy(F.asc_nulls_last("script"))) - 1})  # few distinct scripts
     draws = T.read(spark, sf_dir, "customer").select("c_custkey", N.uniform("pick", F.col("c_custkey")).alias("u"))
-    draws = draws.join(kinds, F.col("c_custkey") % F.col("n") == F.col("k")).select("c_custkey", "script", "u")
-    found = draws.join(pool, "script").where(F.col("u") * F.col("_all") < F.col("_hi"))
-    return found.groupBy("c_custkey", "script").agg(F.min("item").alias("item"))
+    draws = draws.crossJoin(F.broadcast(kinds.agg(F.count("*").alias("n")))).withColumn("k", F.col("c_custkey") % F.when(F.col("n") > 0, F.col("n")))
+    draws = draws.join(kinds, "k").select("c_custkey", "script", "u")
+    return S.first_above(draws, pool, "item", "script").select("c_custkey", "script", "item")
 
 
 @query(

@@ -154,3 +154,14 @@ def test_queries_keep_their_boxes(spark, sf):
     assert catalogue.QUERIES["occupancy_pack"](spark, sf).count() == T.boxes(spark, sf).count()
     planned = T.doc_pages(spark, sf).selectExpr("sum(least(12, greatest(1, line_count))) AS n").first().n
     assert catalogue.QUERIES["block_placement"](spark, sf).count() == planned
+
+
+def test_first_above_equals_a_scan_of_all_items_and_meets_few(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(w)) for g in "ab" for i, w in enumerate([1e6, *rng.exponential(1, 300), 0.0, -2.0, *rng.exponential(50, 300)])] + [("c", 1, 0.0), ("c", 2, 0.0)]
+    draws = [(k, "abc"[k % 3], float(u)) for k, u in enumerate([0.0, 0.0, 0.0, *rng.random(600), *(1 - rng.random(600) / 1e3)])]
+    pool = sampling.cumulative(spark.createDataFrame(rows, "g string, i int, w double"), F.col("w"), ["i"], ["g"]).cache()
+    made = sampling.first_above(spark.createDataFrame(draws, "id int, g string, u double"), pool, "i", "g")
+    got = {r.id: r.i for r in made.collect()}
+    ordered = sorted(map(tuple, pool.select("g", "i", "_hi", "_all").collect()))
+    assert got == {k: next(i for g, i, hi, total in ordered if g == group and u * total < hi) for k, group, u in draws}
