@@ -165,3 +165,28 @@ def test_first_above_equals_a_scan_of_all_items_and_meets_few(spark):
     got = {r.id: r.i for r in made.collect()}
     ordered = sorted(map(tuple, pool.select("g", "i", "_hi", "_all").collect()))
     assert got == {k: next(i for g, i, hi, total in ordered if g == group and u * total < hi) for k, group, u in draws}
+
+
+def test_ink_shares_equal_masks_and_need_no_page_of_pixels():
+    rng = np.random.default_rng(6)
+    kinds = ["title", "table", "figure", "caption", "footer"]
+    for n in (0, 1, 5, 40):
+        boxes = [(*(int(v) for v in rng.integers((-20, -20, -5, -5), (70, 90, 40, 40))), kinds[rng.integers(5)]) for _ in range(n)]
+        pick = lambda *names: [b[:4] for b in boxes if b[4] in names]  # noqa: B023, E731
+        text, other = raster.mask(pick("title", "caption"), 60, 80) > 0, raster.mask(pick("table"), 60, 80) > 0
+        figures = raster.mask([(x - 3, y - 3, w + 6, h + 6) for x, y, w, h in pick("figure")], 60, 80) > 0
+        full = (text.sum() / 4800, (text | other).sum() / 4800, figures.sum() / 4800, (text & ~figures).sum() / max(1, (~figures).sum()))
+        assert raster.ink_shares(boxes, 60, 80, 3) == tuple(round(float(v), 6) for v in full)
+    assert raster.ink_shares([(0, 0, 10**8, 10**9, "list")], 10**9, 10**9, 6) == (0.1, 0.1, 0.0, 0.1)
+
+
+def test_density_of_pages_in_batches_equals_each_page(spark):
+    rng = np.random.default_rng(8)
+    kinds = ["title", "table", "figure", "caption", "footer"]
+    rows = [(page, k, *(int(v) for v in rng.integers((-20, -20, -5, -5), (70, 90, 40, 40))), kinds[rng.integers(5)]) for page in range(60) for k in range(1 + page % 20)]
+    got = raster.density(spark.createDataFrame(rows, "page long, pos long, x long, y long, w long, h long, kind string"), 60, 80, 3)
+    want = {page: raster.ink_shares([r[2:] for r in rows if r[0] == page], 60, 80, 3) for page in range(60)}
+    for size in (10000, 7):  # a page may be cut by the end of a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert {r.page: tuple(r)[1:] for r in got.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
