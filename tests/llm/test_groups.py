@@ -263,16 +263,16 @@ def test_near_lines_of_every_length_are_removed(spark):
 
 def test_members_and_components_are_looked_up_in_one_share_at_a_time(spark, documents, monkeypatch):
     """The shuffle files of all members are never on disk together."""
-    read, save = [], lines.save
+    read, save, names = [], lines.save, {"lines-members", "lines-apart", "lines-pairs-of-share"}
 
     def saved(df, name):
-        if name in ("lines-members", "lines-apart"):
+        if name in names:
             read.append((name, len({f.split("/")[-2] for f in df.inputFiles() if re.search("/lines-(met|buckets|apart)-", f)})))
         return save(df, name)
 
     monkeypatch.setattr(lines, "save", saved)
     assert lines.repeated(documents.where("doc_id < 200")).count() > 0
-    assert {name for name, _ in read} == {"lines-members", "lines-apart"} and max(n for _, n in read) == 1, read
+    assert {name for name, _ in read} == names and max(n for _, n in read) == 1, read
 
 
 INNER = {"_removed": "1", "_emptied": "2", "ld_id": "3", "ld_key": "4", "LD_own": "5", "ld_lines": "6", "rows_id": "7", "Rows_Key": "8", "rows_own": "9", "mix_id": "10", "mix_size": "11", "_mix": "12", "mix_copies": "13", "h": "14", "t": "15", "n": "16", "first": "17"}
